@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import line_quality, shard_mix, url_reputation
+from vigil.llm import line_dedup, line_quality, shard_mix, simhash_mih, url_reputation
 from vigil.llm._common import table
 
 SHARDS = 40
@@ -48,6 +48,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.apply(line_dedup.build(docs), docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shard sizes at most one row apart, each with the corpus's mixture of sources."""
     docs = table(spark, sf_dir, "documents").select(
@@ -62,10 +69,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash_mih.near_duplicates(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {}

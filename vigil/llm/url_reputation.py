@@ -106,11 +106,9 @@ def host_reputation(
     def posterior(prior: Column, strength: Column) -> Column:
         return (F.col("k") + strength * prior) / (F.col("n") + strength)
 
-    corpus = _strength(suffixes, [], low, high).select(
-        F.col("strength").alias("s0"),
-        ((F.coalesce("K", F.lit(0.0)) + base_strength * base_rate) / (F.coalesce("N", F.lit(0.0)) + base_strength)).alias("m0"),
-    )  # one row
-    level1 = suffixes.join(F.broadcast(corpus)).select("suffix", posterior(F.col("m0"), F.col("s0")).alias("m1"))
+    corpus = _strength(suffixes, [], low, high).first()  # one row of three numbers
+    m0 = ((corpus.K or 0.0) + base_strength * base_rate) / ((corpus.N or 0.0) + base_strength)
+    level1 = suffixes.select("suffix", posterior(F.lit(m0), F.lit(corpus.strength)).alias("m1"))
     level1 = level1.join(_strength(domains, ["suffix"], low, high).select("suffix", F.col("strength").alias("s1")), "suffix")
     level2 = domains.join(level1, "suffix").select("domain", posterior(F.col("m1"), F.col("s1")).alias("m2"))
     level2 = level2.join(_strength(hosts, ["domain"], low, high).select("domain", F.col("strength").alias("s2")), "domain")
