@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,16 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     Beyond the bound the table is returned as it is and the join shuffles.
     """
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def text_blocks(texts, chars: int) -> Iterator[tuple[int, list[str]]]:
+    """An Arrow array of texts as (first row, texts) blocks of about ``chars`` characters; null becomes empty."""
+    first, held, size = 0, [], 0
+    for i, value in enumerate(texts):
+        held.append(value.as_py() or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held

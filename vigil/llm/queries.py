@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from vigil.llm import line_dedup, line_quality, shard_mix, simhash_mih, url_reputation
+from vigil.llm import chunk_bpe, line_dedup, line_quality, packing, shard_mix, simhash_mih, url_reputation
 from vigil.llm._common import table
 
 SHARDS = 40
@@ -33,6 +34,11 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(labels, "doc_id", "left").select("host", "bad")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.token_pieces(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_reputation.filter_urls(
         table(spark, sf_dir, "pages").select("page_id", "url"), page_outcomes(spark, sf_dir), rules=URL_RULES
@@ -40,6 +46,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "labelled", F.round("bad_low", 6).alias("bad_low"))
 
 
+def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_bpe.encode_documents(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), outputs="digests")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_quality.judge_lines(docs).select(
@@ -77,7 +88,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
+    "op3_bpe_coding": op3_bpe_coding,
     "op4_quality_rules": op4_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
