@@ -41,7 +41,7 @@ def test_swapped_identity_terms_keep_their_score(spark):
     neutral = "the muslim family bought bread"
     gap = lambda m: abs(m.word("muslim") - m.word("christian"))
     assert gap(plain) > 1 > 0.3 > gap(fair)
-    assert fair.score(neutral) < plain.score(neutral) and fair.score(neutral) < 0.2
+    assert plain.score(neutral) - plain.score("") > 0.3 > 0.05 > abs(fair.score(neutral) - fair.score(""))
     assert fair.score("filthy vermin wordb") > 0.5
 
 

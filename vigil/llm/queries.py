@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vigil.llm import ann_srs, chunk_bpe, line_dedup, line_quality, packing, shard_mix, simhash_mih, toxicity, url_reputation
+from vigil.llm import ann_srs, chunk_bpe, line_dedup, line_quality, packing, pii_boost, shard_mix, simhash_mih, toxicity, url_reputation
 from vigil.llm._common import table
 
 SHARDS = 40
@@ -84,6 +84,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_boost.find_spans(docs)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        F.col("row")["doc_id"].alias("doc_id"),
+        *map(count, pii_boost.KINDS),
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_mih.near_duplicates(docs).select(
@@ -109,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest": op5_nearest,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }

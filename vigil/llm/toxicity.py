@@ -29,7 +29,7 @@ WORD = re.compile(r"[^\W\d_]+")
 GRAM = 5
 #: Feature hashes are 32 bits wide; words that a task remembers.
 MEMORY, BLOCK = 700_000, 4 << 20
-#: Groups of identity terms; a term is swapped within its group and for the neutral words.
+#: Groups of identity terms; a term is swapped within its group, and for a neutral word without features.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
     ("black", "white", "asian", "latino"),
@@ -38,7 +38,6 @@ IDENTITY = (
     ("immigrant", "refugee", "native", "foreign"),
     ("disabled", "deaf", "blind", "elderly"),
 )
-NEUTRAL = ("people", "person")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -135,7 +134,7 @@ def fit(
     counted = durable(count_features(rows))
     chosen = choose_features(counted, most_features, least_docs)
     terms = [t for g in IDENTITY for t in g]
-    for w in (*terms, *NEUTRAL):
+    for w in terms:
         chosen.append(features_of(w)[0])
     place = {f: i for i, f in enumerate(dict.fromkeys(chosen))}
 
@@ -173,17 +172,18 @@ def fit(
     for _ in range(15):  # the largest curvature, for the step size
         v /= np.linalg.norm(v)
         v = back(times(v)) / len(y)
-    curve = 0.25 * np.linalg.norm(v) + 0.25 + l2 + 2 * fairness * np.linalg.norm(swaps, 2) ** 2
+    # a bound on the curvature, by coordinate: only identity terms take the short steps of the penalty
+    curve = 0.25 * np.linalg.norm(v) + 0.25 + l2 + 2 * fairness * (np.abs(swaps).T @ np.abs(swaps).sum(axis=1))
     w, look, momentum, bias, look_bias = np.zeros(len(place)), np.zeros(len(place)), 1.0, 0.0, 0.0
     for _ in range(steps):  # accelerated proximal gradient descent
         error = 1 / (1 + np.exp(-np.clip(times(look) + look_bias, -500, 500))) - y
         slope = back(error) / len(y) + l2 * look + 2 * fairness * (swaps.T @ (swaps @ look))
-        new, new_bias = look - slope / curve, look_bias - error.mean() / curve
+        new, new_bias = look - slope / curve, look_bias - error.mean() / curve.min()
         new = np.sign(new) * np.maximum(np.abs(new) - l1 / curve, 0.0)
         after = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         look, look_bias = new + (momentum - 1) / after * (new - w), new_bias + (momentum - 1) / after * (new_bias - bias)
         w, bias, momentum = new, new_bias, after
-    return Model({f: float(w[i] / scale[i]) for f, i in place.items() if w[i]}, float(bias), {"rows": len(y), "positive": int(y.sum()), "curvature": curve, "slope": float(np.abs(slope).max())})
+    return Model({f: float(w[i] / scale[i]) for f, i in place.items() if w[i]}, float(bias), {"rows": len(y), "positive": int(y.sum()), "curvature": float(curve.max()), "slope": float(np.abs(slope).max())})
 
 
 def _swaps(held: dict[str, int], place: dict[int, int], scale: np.ndarray) -> np.ndarray:
@@ -191,10 +191,10 @@ def _swaps(held: dict[str, int], place: dict[int, int], scale: np.ndarray) -> np
     total, out = sum(held.values()), []
     for group in IDENTITY:
         for a in group:
-            others = [b for b in (*group, *NEUTRAL) if b != a]
+            others = [b for b in (*group, None) if b != a]
             for b in others:
                 delta = np.zeros(len(place))
-                for word, sign in ((b, 1.0), (a, -1.0)):
+                for word, sign in ((b, 1.0), (a, -1.0)) if b else ((a, -1.0),):
                     for f in set(features_of(word)):
                         if f in place:
                             delta[place[f]] += sign / scale[place[f]]
