@@ -33,10 +33,10 @@ from vigil.llm._common import name, text_blocks
 #: Bytes that the rolling hash sees, and sizes of chunks.
 WINDOW, LEAST, MOST = 16, 256, 8192
 MASK = np.uint64(0x3FF)
-WORDS_KEPT, CHUNK_BYTES_KEPT = 500_000, 48 << 20
+WORDS_KEPT, CHUNK_BYTES_KEPT = 450_000, 24 << 20
 SPACES = re.compile(rb"[\x20\x09-\x0d]")
 MULTIPLIER = 0x9E3779B97F4A7C15
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def borders(data: bytes) -> list[int]:
