@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm._common import SPACE, ascii_lower, durable, name, small_side
+from vigil.llm._common import SPACE, ascii_lower, durable, name, settled, small_side
 
 WORDS = f"[{SPACE}]+"
 
@@ -153,4 +153,4 @@ def judge_lines(
         "n_left_words", F.when(F.col("hit"), F.size(words_of(F.col("clean_text")))).otherwise(F.col("n_words")).cast("long")
     )
     verdict = ~F.col("base_failed") & (F.col("n_left_words") >= min_left * F.col("n_words"))
-    return rows.select(*[F.col("row")[c].alias(c) for c in kept], *added[:-1], verdict.alias("kept"))
+    return settled(rows.select(*[F.col("row")[c].alias(c) for c in kept], *added[:-1], verdict.alias("kept")))
