@@ -1,28 +1,61 @@
 """Corpus preparation: quality rules, line dedup, SimHash near-dedup, PII, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it
-kept, and is written as Parquet and read again before the next one.
+kept, and is written as Parquet and read again before the next one.  All stages but
+the last return the columns of ``documents``; a text that a stage changes gets its new
+n_chars.  Odd rows: null texts have no words and go in the first stage; repeated rows
+are one document to line dedup and near-dedup keeps one row of them; an empty table
+stays empty through all stages.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm import line_quality
+from vigil.llm import line_dedup, line_quality, packing, pii_boost, simhash_mih
 from vigil.llm._common import ensure_checkpoint_dir, table
 
 
+def _with_length(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their boilerplate lines."""
     judged = line_quality.judge_lines(docs).where("kept")
     text = F.when(F.col("n_removed_lines") > 0, F.col("clean_text")).otherwise(F.col("text"))
-    return judged.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _with_length(judged.withColumn("text", text), docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; a line that at least five of them hold stays in the last one only."""
+    return _with_length(line_dedup.apply(line_dedup.build(docs), docs), docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id (one row of it)."""
+    named = simhash_mih.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = named.select(F.col("doc_id").alias("first")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
+    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select(*docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind in brackets."""
+    return _with_length(pii_boost.redact(pii_boost.find_spans(docs)), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document goes."""
+    return packing.pack(packing.token_pieces(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
 
 
-STAGES = [("quality", quality)]
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("private", private), ("pack", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: Fingerprints, boosted trees and token ids have no SQL form: the stages are tested against plain versions.
 ORACLE_SQL = None
