@@ -16,6 +16,7 @@ is a rebalance: a task that a large group of copies would fill is split by Spark
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -71,6 +72,7 @@ class ChunkEncoder:
     """Encodes texts with memories of words and of chunks, both bounded.  Ids are held as 32-bit bytes."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -134,6 +136,16 @@ class ChunkEncoder:
         self.chunk_bytes += size
 
 
+def process_encoder(path: str) -> ChunkEncoder:
+    """The one encoder of this worker process for a tokenizer file: tasks after the first find its memories filled."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_vigil_encoders", {})
+    if path not in held:
+        held[path] = ChunkEncoder(path)
+    return held[path]
+
+
 def opened(chunk: bytes) -> tuple[bytes, list[bytes] | None, bytes]:
     """A chunk's open head, whole words and open tail; no words (None) where it has no white space."""
     first = SPACES.search(chunk)
@@ -165,7 +177,7 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, key: str = "doc_id", te
     full, digest = outputs in ("both", "texts"), outputs in ("both", "digests")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = process_encoder(tokenizer)
         token, decimal = encoder.token, encoder.decimal
         for batch in batches:
             for first, texts in text_blocks(batch.column(1), BLOCK):
