@@ -34,7 +34,7 @@ from vigil.llm._common import name, text_blocks
 #: Bytes that the rolling hash sees, and sizes of chunks.
 WINDOW, LEAST, MOST = 16, 256, 8192
 MASK = np.uint64(0x3FF)
-WORDS_KEPT, CHUNK_BYTES_KEPT = 450_000, 24 << 20
+WORDS_KEPT, CHUNK_BYTES_KEPT = 350_000, 24 << 20
 SPACES = re.compile(rb"[\x20\x09-\x0d]")
 MULTIPLIER = 0x9E3779B97F4A7C15
 BLOCK = 1 << 20

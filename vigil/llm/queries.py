@@ -127,4 +127,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+_A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+_WORD = r"[^\x20\x09-\x0D]+"
+_LINES = "select doc_id, source, text, unnest(string_split(coalesce(text,''), chr(10))) line, unnest(range(len(string_split(coalesce(text,''), chr(10))))) i from documents"
+
+
+def _level(n: str, k: str, parent: str, groups: str) -> str:
+    """Prior strength by parent (ANOVA estimate of the intra-class correlation), as SQL."""
+    return f"""(select {parent}, sum({n}) bn, sum({k}) bk, sum(case when {n}>0 then {k}*{k}/{n} end) kk, sum({n}*{n}) nn, sum(case when {n}>0 then 1 else 0 end) g from {groups} group by all)"""
+
+
+def _strength(sums: str, parent: str) -> str:
+    return f"""(select {parent}, bn, bk, 1/least(greatest(coalesce((b-w)/nullif(b+(n0-1)*w,0), 1/2001e0), 1/2001e0), 1/3e0)-1 strength from
+(select *, (kk-bk*bk/nullif(bn,0))/nullif(g-1,0) b, (bk-kk)/nullif(bn-g,0) w, (bn-nn/nullif(bn,0))/nullif(g-1,0) n0 from {sums}))"""
+
+
+_RULE = " ".join(
+    f"when (host='{own}' or suffix(host, '.{own}')) and starts_with(path, '/{tail}') then '{what}|{own}/{tail}'"
+    for what, (own, _, tail) in sorted(((v, r.partition("/")) for v, r in URL_RULES), key=lambda x: -len("".join(x[1])))
+)
+
+ORACLES: dict[str, str] = {
+    "op2_url_filter": f"""
+with u as (select page_id, url, case when contains(url,'://') then substr(url, instr(url,'://')+3) end rest from pages),
+h as (select page_id, coalesce(translate(regexp_extract(rest,'^[^/?#]*'),'{_A}','{_Z}'),'') host,
+ coalesce(regexp_extract(substr(rest, length(regexp_extract(rest,'^[^/?#]*'))+1), '^[^?#]*'),'') path from u),
+o as (select host, case when l.doc_id is not null then ((quality=0) or (toxic=1))::int end bad from h left join labels l on l.doc_id = try_cast(nullif(regexp_extract(path,'/([0-9]{{1,18}})(?:\\.html)?/?$',1),'') as bigint)),
+hosts as (select host, string_split(host,'.')[-1] sfx, array_to_string(list_slice(string_split(host,'.'),-2,-1),'.') dom, count(bad)::double n, coalesce(sum(bad),0)::double k from o where host<>'' group by 1),
+doms as (select sfx, dom, sum(n) n, sum(k) k from hosts group by all), sfxs as (select sfx, sum(n) n, sum(k) k from doms group by all),
+c as (select strength s0, (coalesce(bk,0)+20e0*0.05e0)/(coalesce(bn,0)+20e0) m0 from {_strength(_level("n", "k", "1 one", "sfxs"), "one")}),
+l1 as (select sfx, (k+s0*m0)/(n+s0) m1 from sfxs, c),
+l2 as (select d.dom, (k+s.strength*m1)/(n+s.strength) m2 from doms d join l1 using(sfx) join {_strength(_level("n", "k", "sfx", "doms"), "sfx")} s using(sfx)),
+ab as (select host, n, k+s.strength*m2 a, n-k+s.strength*(1-m2) b from hosts join l2 using(dom) join {_strength(_level("n", "k", "dom", "hosts"), "dom")} s using(dom)),
+r as (select host, n::bigint labelled, greatest(0, a/(a+b)-1.645e0*sqrt(a*b/((a+b)*(a+b)*(a+b+1)))) bad_low from ab),
+v as (select h.*, case {_RULE} end rv from h)
+select page_id, host, path, string_split(rv,'|')[2] as rule, coalesce(string_split(rv,'|')[1], case when coalesce(bad_low,0)>0.3 then 'block' else 'allow' end) verdict,
+coalesce(labelled,0) labelled, round(bad_low,6) bad_low from v left join r using(host)""",
+    "op4_quality_rules": f"""
+with d as (select doc_id, source, coalesce(text,'') text, regexp_extract_all(coalesce(text,''),'{_WORD}') ws from documents),
+w as (select doc_id, unnest(ws) w, unnest(range(len(ws))) i from d),
+win as (select doc_id, i, w||chr(32)||lead(w) over o||chr(32)||lead(w,2) over o x from w window o as (partition by doc_id order by i)),
+rep as (select doc_id, i from (select *, count(*) over(partition by doc_id, x) c from win where x is not null) where c>1),
+cov as (select doc_id, count(distinct p)::bigint n from (select doc_id, unnest([i,i+1,i+2]) p from rep) group by 1),
+l as (select doc_id, source, text, line, i, len(regexp_extract_all(line,'{_WORD}')) nw, regexp_replace(translate(trim(line,{_BLANKS}),'{_A}','{_Z}'),'[0-9]+','0','g') k from ({_LINES})),
+dup as (select doc_id, (count(line) - count(distinct line))::bigint n from l where nw>0 group by 1),
+sz as (select source, count(distinct coalesce(text,'')) docs from documents group by 1),
+fr as (select source, k from l join sz using(source) where nw>0 group by source, k, docs having count(distinct coalesce(text,''))>20 and count(distinct coalesce(text,''))>0.1*docs),
+gone as (select l.doc_id, count(*) n, sum(nw)::bigint nw from l join fr on fr.source=l.source and fr.k=l.k where nw>0 group by 1),
+b as (select d.doc_id, len(ws)::bigint n_words, length(regexp_replace(d.text,'[\\x20\\x09-\\x0D]+','','g'))::bigint word_chars, length(regexp_replace(d.text,'[^#*$%&|<>]+','','g'))::bigint n_symbols,
+ coalesce(dup.n,0) n_dup_lines, coalesce(cov.n,0) n_repeat_words, coalesce(gone.n,0) n_removed_lines, len(ws)-coalesce(gone.nw,0) n_left_words
+ from d left join dup using(doc_id) left join cov using(doc_id) left join gone using(doc_id)),
+f as (select *, n_words<50 or 100*n_repeat_words>50*n_words base_failed from b)
+select *, not base_failed and n_left_words>=0.2*n_words kept from f""",
+    "op6_line_dedup": f"""
+with l as (select *, translate(trim(line,{_BLANKS}),'{_A}','{_Z}') x from ({_LINES})), k as (select *, case when length(x)>=40 then x end k from l),
+c as (select k, count(distinct doc_id) n, max(doc_id) last from k where k is not null group by 1),
+f as (select doc_id, i, line, coalesce(n>=5 and doc_id<>last, false) gone from k left join c using(k))
+select doc_id, count(*) n_lines, count(*) filter(gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter(not gone),'')) kept_sha256 from f group by 1""",
+}
