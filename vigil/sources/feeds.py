@@ -121,8 +121,8 @@ def normalise_nvd(pages: DataFrame) -> DataFrame:
 def date_chunks(spark: SparkSession, start: str, end: str, days: int = 120) -> DataFrame:
     """Request windows of at most ``days`` days; an empty or one-day range has none."""
     row = spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("b"))
-    steps = F.sequence("a", F.date_sub("b", 1), F.expr(f"interval {days} day"))
-    return row.where("a < b").select(F.explode(steps).alias("chunk_start"), "b").select(
+    steps = F.sequence("a", F.greatest(F.date_sub("b", 1), "a"), F.expr(f"interval {days} day"))
+    return row.select(F.explode(F.when(F.col("a") < F.col("b"), steps)).alias("chunk_start"), "b").select(
         "chunk_start", F.least(F.date_add("chunk_start", days - 1), "b").alias("chunk_end")
     )
 
