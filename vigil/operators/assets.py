@@ -175,8 +175,16 @@ def asset_labels(pairs: DataFrame, assets: DataFrame, vulns: DataFrame, signals:
     ))
     on = lambda x: F.coalesce(c(x), F.lit(False))
     df = df.withColumn("w", on("kev") | on("poc") | on("msf") | F.coalesce(c("epss_max") >= 0.5, F.lit(False)))
+    df = df.withColumn("q", pick(
+        ((c("a.y") == 0) & (c("a.k") >= 0.8), 0, c("a.k") * 0.9),
+        ((c("a.y") == 1) & c("w") & ((c("r.y") == 1) | (c("g.y") == 1)), 1, F.least(c("a.k"), F.lit(0.85))),
+        ((c("a.y") == 1) & c("w"), 0, F.lit(0.6)),
+        (c("a.y") == 1, 0, F.lit(0.5)),
+        (yes, 0, F.lit(0.3)),
+    ))
     return df.select(
         *PAIR,
+        c("q.y").alias("action_required"), F.round("q.k", 4).alias("action_confidence"),
         c("a.y").alias("affected"), F.round("a.k", 4).alias("affected_confidence"),
         c("r.y").alias("reachable"), F.round("r.k", 4).alias("reachable_confidence"),
         c("g.y").alias("control_gap"), F.round("g.k", 4).alias("control_gap_confidence"),

@@ -90,6 +90,14 @@ def circular_features(policy: str) -> set[str]:
     return {SIGNAL_FEATURES[s] for s in p.positive if s in SIGNAL_FEATURES} - p.excluded
 
 
+def label_validation(stats: DataFrame) -> DataFrame:
+    """Per policy of ``label_stats``: circular features, sanity of the positive rate, passed (a warning does not pass)."""
+    circular = core.lookup(F.col("policy"), {p: ",".join(sorted(circular_features(p))) for p in POLICIES}, "")
+    rate = F.col("positive_rate")
+    sanity = F.when((rate > 0.20) | ((F.col("policy") == "kev_strict") & (rate > 0.05)), "WARN").otherwise("PASS")
+    return stats.select("policy", circular.alias("circular"), sanity.alias("sanity"), ((circular == "") & (sanity == "PASS")).alias("passed"))
+
+
 def entity_leakage(train: DataFrame, test: DataFrame, key: str = "vuln_id") -> DataFrame:
     """One row: shared ids, ids of the test side, fraction, passed."""
     a, b = train.select(key).distinct().withColumn("in_train", F.lit(1)), test.select(key).distinct()

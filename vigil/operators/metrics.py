@@ -63,6 +63,20 @@ def top_k(df: DataFrame, ks: list[int], y: str = "y", p: str = "p", key: str = "
     )
 
 
+def baselines(features: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns, stream and p: scores by CVSS, by EPSS, and by KEV with CVSS below it."""
+    cvss = F.col("cvss_base_score")
+    scores = {"cvss": cvss / 10, "epss": F.col("epss_score"), "kev": F.col("kev_flag") + cvss / 100}
+    rows = F.array(*[F.struct(F.lit(n).alias("stream"), p.alias("p")) for n, p in scores.items()])
+    return features.select(*keep, F.explode(rows).alias("r")).select(*keep, "r.stream", "r.p")
+
+
+def clipped_brier(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """Brier score of scores that may leave 0 to 1, which are cut to it."""
+    inside = F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0))
+    return df.groupBy(*by).agg(F.round(F.avg(F.pow(inside - F.col(y), 2)), 6).alias("brier"))
+
+
 def rank_fusion(df: DataFrame, streams: list[str], key: str = "doc_id", k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: sum of 1 / (k + rank), rank counted over distinct scores' cumulative sizes."""
     out = df.select(key, *streams)

@@ -206,6 +206,14 @@ def d08(spark, sf):
     return signals.label_stats(_all_labels(spark, sf))
 
 
+@query("d08_label_validation", _ALL_LABELS + """, r as (select policy, sum(label_value)/count(*) rate, case policy """
+       + " ".join(f"when '{p}' then '{','.join(sorted(audit.circular_features(p)))}'" for p in signals.POLICIES)
+       + """ end circular from labels4 group by 1), w as (select *, case when round(rate,6)>0.20 or (policy='kev_strict' and round(rate,6)>0.05) then 'WARN' else 'PASS' end sanity from r)
+select policy, circular, sanity, circular='' and sanity='PASS' passed from w""", "b_vuln", "b_signal")
+def d08_validation(spark, sf):
+    return audit.label_validation(signals.label_stats(_all_labels(spark, sf)))
+
+
 @query("d09_label_conflicts", _ALL_LABELS + """ select vuln_id, string_agg(policy||'='||label_value, ',' order by policy||'='||label_value) votes, 'expected' severity
 from labels4 group by 1 having count(distinct label_value)>1""", "b_vuln", "b_signal")
 def d09(spark, sf):
@@ -259,17 +267,19 @@ def d17(spark, sf):
     return assets.actionability_features(pair, asset, vuln, sbom, vex, reach, control, ASOF)
 
 
-@query("d14_asset_labels", _EV + """ select asset_id, vuln_id,
+@query("d14_asset_labels", _EV + """ select *, (case when affected=1 and weaponised and (reachable=1 or control_gap=1) then 1 else 0 end)::bigint action_required,
+round(case when affected=0 and affected_confidence>=0.8 then affected_confidence*0.9e0 when affected=1 and weaponised and (reachable=1 or control_gap=1) then least(affected_confidence,0.85e0)
+ when affected=1 and weaponised then 0.6e0 when affected=1 then 0.5e0 else 0.3e0 end,4) action_confidence from (select asset_id, vuln_id,
 (case when own='not_affected' then 0 when own in ('affected','under_investigation') then 1 when own is null and other='not_affected' then 0 when own is null and other='affected' then 1 when n>0 then 1 else 0 end)::bigint affected,
 round(case when own='not_affected' then 0.95e0 when own in ('affected','under_investigation') then 0.9e0 when own is null and other in ('not_affected','affected') then 0.8e0 when n>0 then coalesce(sbest,0.7e0) else 0.3e0 end,4) affected_confidence,
 (case when reachable then 1 when not reachable then 0 when internet_facing then 1 else 0 end)::bigint reachable,
 round(case when reachable is not null then case when rconf>=0 then rconf else 0.8e0 end when internet_facing then 0.4e0 else 0.3e0 end,4) reachable_confidence,
 (case when controls is null or active=0 then 1 when cbest>=0.9 then 0 when cbest is not null then 1 else 0 end)::bigint control_gap,
 round(case when controls is null then 0.5e0 when active=0 then 0.7e0 when cbest>=0.9 then 0.85e0 when cbest is not null then 0.7e0 else 0.4e0 end,4) control_gap_confidence,
-coalesce(kev,false) or coalesce(poc,false) or coalesce(msf,false) or coalesce(epss_max>=0.5,false) weaponised from j""", *_PAIRS)
+coalesce(kev,false) or coalesce(poc,false) or coalesce(msf,false) or coalesce(epss_max>=0.5,false) weaponised from j)""", *_PAIRS)
 def d14(spark, sf):
     df = assets.asset_labels(*_pairs(spark, sf), ASOF)
-    return df.withColumns({c: F.col(c).cast("long") for c in ("affected", "reachable", "control_gap")})
+    return df.withColumns({c: F.col(c).cast("long") for c in ("affected", "reachable", "control_gap", "action_required")})
 
 
 @query("d31_evidence", _EVIDENCE + " select * from e2", *_PAIRS)
@@ -413,6 +423,16 @@ def m09(spark, sf):
     return c.select("stream", "p", "cum_n", "cum_pos", F.round(F.col("cum_pos") / F.col("cum_n"), 6).alias("precision"), F.round(F.try_divide("cum_pos", "positives"), 6).alias("recall"))
 
 
+@query("m10_baselines", _SIG + """, f as (select coalesce(cvss_base_score,0) c, coalesce(epss_latest,0) e, coalesce(kev,false)::int::double k, (coalesce(kev,false) or coalesce(poc,false) or coalesce(msf,false))::int y
+from b_vuln left join sig using(vuln_id)), s as (select y, unnest(['cvss','epss','kev']) stream, unnest([c/10, e, k+c/100]) p from f)""" + _CURVE + """ select * from
+(select stream, round(sum(pos/tp*cp/cn),6) average_precision, round(sum(pos*((tn-cn)-(tp-cp)+(n-pos)/2e0))/max(tp*(tn-tp)),6) roc_auc from w group by 1)
+join (select stream, round(avg(pow(least(greatest(p,0e0),1e0)-y,2)),6) brier from s group by 1) using(stream)""", "b_vuln", "b_signal")
+def m10(spark, sf):
+    y = _labels(spark, sf, "composite_no_leak").select("vuln_id", F.col("label_value").alias("y"))
+    rows = metrics.baselines(signals.vulnerability_features(view(spark, sf, "b_vuln"), view(spark, sf, "b_signal"), ASOF).join(y, "vuln_id"), "y")
+    return metrics.ranking_metrics(rows, ["stream"]).join(metrics.clipped_brier(rows, ["stream"]), "stream")
+
+
 @query("m16_calibration", ", b as (select *, least(floor(p1*5),4)::bigint bin from b_score) select bin, count(*) n, round(avg(p1),6) mean_score, round(avg(y),6) observed from b group by 1", "b_score")
 def m16(spark, sf):
     return metrics.calibration(view(spark, sf, "b_score"), p="p1").withColumn("bin", F.col("bin").cast("long"))
