@@ -1,4 +1,4 @@
-"""Corpus preparation: quality rules, line dedup, SimHash near-dedup, PII, best-fit packing.
+"""Corpus preparation: quality rules, line dedup, near-dedup by shingles, PII, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it
 kept, and is written as Parquet and read again before the next one.  All stages but
@@ -16,8 +16,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm import line_dedup, line_quality, packing, pii_boost, simhash_mih
+from vigil.llm import line_dedup, line_quality, packing, pii_boost
 from vigil.llm._common import ensure_checkpoint_dir, table
+from vigil.llm.near_copies import components as near_copies_by_shingles
 
 
 def _with_length(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,8 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id (one row of it)."""
-    named = simhash_mih.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of each group of near copies (5-word Jaccard of 0.8 or more) the document with the smallest doc_id (one row of it)."""
+    named = near_copies_by_shingles(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = named.select(F.col("doc_id").alias("first")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
