@@ -26,8 +26,8 @@ def _with_length(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without their boilerplate lines."""
-    judged = line_quality.judge_lines(docs).where("kept")
+    """Documents that the quality rules keep, without the lines that more than 20 texts of their source hold."""
+    judged = line_quality.judge_lines(docs, max_share=None).where("kept")
     text = F.when(F.col("n_removed_lines") > 0, F.col("clean_text")).otherwise(F.col("text"))
     return _with_length(judged.withColumn("text", text), docs.columns)
 

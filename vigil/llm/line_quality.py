@@ -10,6 +10,10 @@ More than ``max_share`` of a host's documents hold each such line, so a host has
 most (mean lines per document) / max_share of them: the lines are kept as one short
 array per host and matched inside the row, without moving the text through a shuffle
 where the hosts' table is small.
+
+Without a share (``max_share`` None) the limit is ``min_docs`` alone, whatever the size
+of the host, and a host's lines have no bound: the lines of the documents are joined to
+the frequent ones, and each distinct text gets those it holds.
 """
 
 from __future__ import annotations
@@ -81,17 +85,15 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(f"[^{SPACE}]"), F.xxhash64(bare(x))))
 
 
-def frequent_lines(
-    df: DataFrame, *, text: str = "text", host: str = "source", max_share: float = 0.1, min_docs: int = 20
-) -> DataFrame:
-    """host, frequent (array of line hashes): the lines above the limit, one row per host that has any.
-
-    A null host is a host of its own (returned as null).
-    """
+def documents_of(df: DataFrame, text: str, host: str) -> DataFrame:
+    """host, doc (hash of the text), keys (see ``line_keys``) of every row."""
     body = F.coalesce(name(text), F.lit(""))
-    docs = df.select(name(host).cast("string").alias("host"), F.xxhash64(body).alias("doc"), line_keys(body).alias("keys"))
-    sizes = docs.groupBy("host", "doc").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
-    held = (
+    return df.select(name(host).cast("string").alias("host"), F.xxhash64(body).alias("doc"), line_keys(body).alias("keys"))
+
+
+def held_lines(docs: DataFrame, min_docs: int) -> DataFrame:
+    """host, key, held: the lines that more than ``min_docs`` distinct texts of a host hold, and how many do."""
+    return (
         docs.select("host", "doc", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
         .groupBy("host", "key", "doc")
         .agg(F.lit(1).alias("one"))
@@ -99,6 +101,31 @@ def frequent_lines(
         .agg(F.count("*").alias("held"))
         .where(F.col("held") > min_docs)
     )
+
+
+def frequent_by_text(df: DataFrame, *, text: str, host: str, min_docs: int, broadcast_lines: int = 200_000, salts: int = 16) -> DataFrame:
+    """host, doc, frequent: for every distinct text that holds any, its lines held by more than ``min_docs`` texts of the host."""
+    docs = documents_of(df, text, host)
+    frequent = durable(held_lines(docs, min_docs).select(F.col("host").alias("h"), F.col("key").alias("k")))
+    salted = small_side(frequent, broadcast_lines)
+    own = docs.select("host", "doc", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
+    same = F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k"))
+    if salted is frequent:  # a line that most of a host's texts hold is no single task
+        salted = frequent.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        same &= F.pmod(F.col("doc"), F.lit(salts)) == F.col("s")
+    return own.join(salted, same).groupBy("host", "doc").agg(F.collect_set("key").alias("frequent"))
+
+
+def frequent_lines(
+    df: DataFrame, *, text: str = "text", host: str = "source", max_share: float = 0.1, min_docs: int = 20
+) -> DataFrame:
+    """host, frequent (array of line hashes): the lines above the limit, one row per host that has any.
+
+    A null host is a host of its own (returned as null).
+    """
+    docs = documents_of(df, text, host)
+    sizes = docs.groupBy("host", "doc").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
+    held = held_lines(docs, min_docs)
     same = held["host"].eqNullSafe(sizes["host"])
     return (
         held.join(sizes, same)
@@ -113,10 +140,11 @@ def judge_lines(
     *,
     text: str = "text",
     host: str = "source",
-    max_share: float = 0.1,
+    max_share: float | None = 0.1,
     min_docs: int = 20,
     min_left: float = 0.2,
     broadcast_hosts: int = 5_000,
+    broadcast_lines: int = 200_000,
 ) -> DataFrame:
     """All columns of ``df`` plus clean_text, n_removed_lines, n_left_words, the base columns, base_failed and kept.
 
@@ -130,13 +158,19 @@ def judge_lines(
         "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     )
     kept = [c for c in df.columns if c not in added]
-    lines = durable(frequent_lines(df, text=text, host=host, max_share=max_share, min_docs=min_docs))
+    if max_share is None:
+        lines = durable(frequent_by_text(df, text=text, host=host, min_docs=min_docs, broadcast_lines=broadcast_lines))
+    else:
+        lines = durable(frequent_lines(df, text=text, host=host, max_share=max_share, min_docs=min_docs))
     rows = df.select(
         F.struct(*[name(c) for c in kept]).alias("row"),
         F.coalesce(name(text), F.lit("")).alias("body"),
         name(host).cast("string").alias("at"),
     )
-    rows = rows.join(small_side(lines, broadcast_hosts), F.col("at").eqNullSafe(F.col("host")), "left")
+    same = F.col("at").eqNullSafe(F.col("host"))
+    if max_share is None:
+        same &= F.xxhash64("body") == F.col("doc")
+    rows = rows.join(small_side(lines, broadcast_hosts), same, "left")
     none = F.array().cast("array<bigint>")
     rows = rows.withColumn("keys", line_keys(F.col("body"))).withColumn("frequent", F.coalesce("frequent", none))
     gone = lambda i: F.coalesce(F.array_contains(F.col("frequent"), F.get(F.col("keys"), i)), F.lit(False))
