@@ -60,12 +60,24 @@ def cosines(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray, query_nor
     return (vectors * query).sum(axis=1) / (norms * query_norm)
 
 
+def distinct_ids(near: list[tuple[float, int]], query_id: int, k: int) -> list[tuple[float, int]]:
+    """The k first of (minus score, id), each id once and the query's never."""
+    first = {}
+    for s, i in sorted(near):
+        if i != query_id:
+            first.setdefault(i, s)
+    return [(s, i) for i, s in first.items()][:k]
+
+
 def search_shard(
     ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, *, k: int, m: int, seed: int, confidence: float, step: int = 6
 ) -> tuple[list[tuple[int, int, float]], int]:
     """(query_id, vec_id, score) of up to k neighbours of each query, and how many vectors were verified."""
-    order = np.argsort(ids, kind="stable")
+    order = np.lexsort((*vectors.T[::-1], ids))
     ids, vectors = ids[order], vectors[order]
+    if len(ids):  # a repeated row is one candidate
+        again = (ids[1:] == ids[:-1]) & (vectors[1:] == vectors[:-1]).all(axis=1)
+        ids, vectors = ids[np.r_[True, ~again]], vectors[np.r_[True, ~again]]
     _, first, of = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
     points = vectors[first]
     norms = np.sqrt((points * points).sum(axis=1))
@@ -73,11 +85,13 @@ def search_shard(
     begins = np.searchsorted(of[by_point], np.arange(len(points) + 1))
     directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], m))
     tree = KdTree((points / norms[:, None]) @ directions)
+    several = len(np.unique(ids)) < len(ids)  # ids with more than one vector
+    at_point = lambda p: ids[by_point[begins[p] : min(begins[p + 1], begins[p] + k + 1)]].tolist()
     out, verified = [], 0
     for query_id, query in zip(query_ids.tolist(), queries, strict=True):
         norm = math.sqrt((query * query).sum())
         leaves, least = tree.outwards((query / norm) @ directions)
-        found, scores, best = [], [], np.zeros(0)
+        found, scores, best, held = [], [], np.zeros(0), []
         for at in range(0, len(leaves), step):
             if len(best) > k:  # one more than k, as the query itself may be among them
                 apart = max(0.0, 2 - 2 * float(best[k]))
@@ -88,12 +102,15 @@ def search_shard(
             scores.append(cosines(points[own], norms[own], query, norm))
             verified += len(own)
             best = -np.sort(-np.concatenate([best, scores[-1]]))[: k + 1]
+            if several:  # the limit is that of the k-th id, not of the k-th vector
+                held = distinct_ids([(-s, i) for p, s in zip(own.tolist(), scores[-1].tolist(), strict=True) for i in at_point(p)] + held, query_id, k)
+                best = np.full(k + 1, -held[-1][0]) if len(held) == k else np.zeros(0)
         own, score = np.concatenate(found), np.concatenate(scores)
-        keep = score >= best[-1]
+        keep = score >= best[-1] if len(best) else np.full(len(score), True)
         near = []
         for p, s in zip(own[keep].tolist(), score[keep].tolist(), strict=True):
-            near += [(-s, i) for i in ids[by_point[begins[p] : min(begins[p + 1], begins[p] + k + 1)]].tolist()]
-        near = sorted(x for x in near if x[1] != query_id)[:k]
+            near += [(-s, i) for i in at_point(p)]
+        near = distinct_ids(near, query_id, k)
         out += [(query_id, i, -s) for s, i in near]
     return out, verified
 
@@ -122,7 +139,7 @@ def nearest(
     Queries are the rows where ``is_query`` holds, candidates all rows but those with the
     query's own id.  Rows without an id, with an unusable vector (see ``usable``) or of
     another length than most take no part; of rows with one id, the query vector is the
-    smallest.  All vectors are indexed.  ``projections`` must be even.
+    smallest, and as a candidate the id counts once, with its best score.  All vectors are indexed.  ``projections`` must be even.
     """
     rows = vectors.select(
         name(key).cast("long").alias("id"), name(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
@@ -130,7 +147,7 @@ def nearest(
     widths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("q"))
     common = widths.orderBy(F.desc("n"), "width").first()
     width, n, q = (common.width, common.n, common.q) if common else (0, 0, 0)
-    rows = rows.where(F.size("v") == width)
+    rows = rows.where(F.size("v") == width).groupBy("id", "v").agg(F.max("q").alias("q"))
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block_queries))
     place = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("block", place(blocks))
@@ -148,7 +165,8 @@ def nearest(
 
     left = held.select("shard", "block", "id", "v").groupBy("shard", "block")
     right = asked.select("shard", "block", "id", "v").groupBy("shard", "block")
-    near = left.cogroup(right).applyInPandas(search, "query_id long, vec_id long, score double").distinct()
+    near = left.cogroup(right).applyInPandas(search, "query_id long, vec_id long, score double")
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
