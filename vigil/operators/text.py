@@ -121,16 +121,23 @@ def query_text(description: Column, cwes: Column, products: Column) -> Column:
     return F.concat_ws(" ", F.nullif(description, F.lit("")), listed("Weakness types: ", cwes), listed("Affected software: ", products))
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, least: float | None = None) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, least: float | None = None, shard_rows: int = 8192, block_queries: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest by cosine; payload filter first, the score limit after the top k.
 
-    ``queries`` (query_id, q) is a stated, bounded set of at most some thousand vectors.
+    Vectors meet ``queries`` (query_id, q; of any number) as (shard, block) groups of
+    bounded size; each shard gives a query its own top k before the last one.
     """
     held = vectors if where is None else vectors.where(where)
-    both = held.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = both.select("query_id", "vec_id", core.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    shards, blocks = max(1, -(-held.count() // shard_rows)), max(1, -(-queries.count() // block_queries))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = held.select("vec_id", "embedding", place("vec_id", shards).alias("shard"), every(blocks).alias("block"))
+    right = queries.select("query_id", "q", place("query_id", blocks).alias("block"), every(shards).alias("shard"))
+    both = left.hint("merge").join(right, ["shard", "block"]).where(F.col("vec_id") != F.col("query_id"))
+    scored = both.select("query_id", "shard", "vec_id", core.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    order = (F.desc("score"), F.col("vec_id"))
+    own = scored.withColumn("at", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))).where(F.col("at") <= k)
+    top = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     top = top if least is None else top.where(F.col("score") >= least)
     return top.select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
 

@@ -488,9 +488,12 @@ def a16(spark, sf):
 _COS = "select q.vec_id query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) s from embeddings e, (select * from embeddings where vec_id<20) q where e.vec_id<>q.vec_id and e.label=3"
 
 
-def _near(spark: SparkSession, sf: str, k: int, least: float | None) -> DataFrame:
+_COS_ALL = "select q.vec_id query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) s from embeddings e, (select * from embeddings where vec_id%20=0) q where e.vec_id<>q.vec_id and e.label=3"
+
+
+def _near(spark: SparkSession, sf: str, k: int, least: float | None, asked: str = "vec_id < 20") -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return text.nearest_vectors(e, q, k, F.col("label") == 3, least).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -504,6 +507,16 @@ def r02(spark, sf):
     return _near(spark, sf, 5, 0.3)
 
 
+@query("r01_nearest_all", f"select query_id, rn \"rank\", vec_id, round(s,4) score from (select *, row_number() over(partition by query_id order by s desc, vec_id) rn from ({_COS_ALL})) where rn<=5")
+def r01_all(spark, sf):
+    return _near(spark, sf, 5, None, "vec_id % 20 = 0")
+
+
+@query("r02_min_score_all", f"select query_id, rn \"rank\", vec_id, round(s,4) score from (select *, row_number() over(partition by query_id order by s desc, vec_id) rn from ({_COS_ALL})) where rn<=5 and s>=0.3")
+def r02_all(spark, sf):
+    return _near(spark, sf, 5, 0.3, "vec_id % 20 = 0")
+
+
 def _ci(p: str, col: str = "t") -> str:
     return f"regexp_matches({col}, '(?i)(?:{p})')"
 
