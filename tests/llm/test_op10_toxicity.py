@@ -59,5 +59,5 @@ def test_odd_rows_and_models_without_both_classes(spark):
 def test_sample_is_bounded(spark):
     labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
     texts = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    n = toxicity.training_rows(texts, labels.unionByName(spark.createDataFrame([(None, 1), (7, None)], labels.schema)), most=500).count()
+    n = toxicity.training_rows(texts, labels.unionByName(spark.createDataFrame([(None, 1), (7, None)], "doc_id long, toxic long")), most=500).count()
     assert 400 < n < 600

@@ -19,15 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own setting, else one for tests."""
+    """The shared folder for checkpoints: the cluster's own setting; only on a local master one for tests instead."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vigil-checkpoint-")
-        )
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="vigil-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written to the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -1,9 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands, exact verification.
-
-Texts that differ in ASCII case and white space only are one node.  Nodes that agree in
-all hashes of some band are proposed, and a link stays only if the exact similarity of
-the two shingle sets reaches the limit.  With 24 bands of 5 hashes a pair at similarity
-0.8 is missed with probability 0.00007, one at 0.9 practically never.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash proposals, exact verification.
+
+Texts that differ in ASCII case and white space only are one node.  A link joins nodes
+whose sets of shingles reach the similarity limit, exactly.  Who is compared:
+
+1. SimHash links by multi-index hashing (``simhash_mih``), a spanning forest of the
+   fingerprints within a few bits.  They settle dense groups of light edits, but a pair
+   at similarity 0.8 differs in about 10 of 64 bits, which no table of segments finds.
+2. So MinHash bands propose the rest: 24 bands of 5 hashes miss a pair at 0.8 with
+   probability 0.00007.  A band key does not compare all its nodes with each other: in a
+   round they are compared with one leader, and nodes that a component has already
+   joined are done.  After a few rounds only nodes of a key that are still in different
+   components are compared with each other, so nothing that shares a key is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm._common import SPACE, ascii_lower, durable, name, small_side
-from vigil.llm.simhash_mih import connected
+from vigil.llm.simhash_mih import connected, fingerprint_of, links
 
 SEED = 42
 #: Shingles that are permuted at once.
@@ -31,7 +38,7 @@ def plain_text(text: Column) -> Column:
 
 
 def shingles(body: str, size: int) -> np.ndarray:
-    """Hashes of the distinct word shingles; fewer words than a shingle are one, no words none."""
+    """Hashes of the word shingles, repeats included; fewer words than a shingle are one, no words none."""
     raw = body.encode("utf-8", "surrogatepass")
     words = raw.split(b" ") if raw else []
     if not words:
@@ -39,8 +46,7 @@ def shingles(body: str, size: int) -> np.ndarray:
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(size, len(words))
     begins = [0, *ends[:-1].tolist()][: len(words) - k + 1]
-    found = [xxhash.xxh64_intdigest(raw[a:b], SEED) for a, b in zip(begins, (ends[k - 1 :] - 1).tolist(), strict=True)]
-    return np.unique(np.array(found, np.uint64))
+    return np.array([xxhash.xxh64_intdigest(raw[a:b], SEED) for a, b in zip(begins, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -56,45 +62,95 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(own.tobytes(), i) for i, own in enumerate(signature)], np.uint64).view(np.int64)
 
 
-def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, broadcast_nodes: int = 200_000) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, percent: int, pairs_per_task: int = 1000, broadcast_rows: int = 200_000) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (``sets``: node, own) reach the limit; a node in many pairs is dealt to many tasks."""
+    pairs = durable(pairs)
+    slots = durable(pairs.groupBy("a").agg(F.ceil(F.count("*") / pairs_per_task).cast("int").alias("slots")))
+    dealt = pairs.join(small_side(slots, broadcast_rows), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"))
+    x = sets.join(slots, F.col("node") == F.col("a")).select("a", F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    y = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = 100 * both >= percent * (F.size("x") + F.size("y") - both)
+    return dealt.join(x, ["a", "slot"]).join(y, "b").where(alike).select("a", "b")
+
+
+def components(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, max_distance: int = 4, bands: int = 24, rows: int = 5,
+    rounds: int = 3, broadcast_rows: int = 200_000,
+) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over links, a row for each row of ``docs``.
 
     A link joins texts whose sets of ``size``-word shingles have a Jaccard similarity of
-    at least ``percent`` %.  Texts without words are one node.
+    at least ``percent`` %.  Texts without words (null, blank) are one node; fewer words
+    than a shingle are one shingle; texts of any length are taken whole; a null doc_id
+    never names a component unless all of its component's are null.  Other columns,
+    whatever their names, are not read.  An empty table gives no rows.
     """
     source = docs.select(name(key).alias("doc_id"), plain_text(name(text)).alias("body")).withColumn("node", F.md5(F.col("body").cast("binary")))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, prints = [], [], []
             for body in batch.column(2):
-                own = shingles(body.as_py(), size)
+                every = shingles(body.as_py(), size)
+                own = np.unique(every)
                 sizes.append(len(own))
+                prints.append(fingerprint_of(every))
                 keys.append(band_keys(own, bands, rows))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            starts = np.arange(len(keys) + 1, dtype=np.int32) * bands
-            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), lists], ["doc_id", "node", "n", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(flat))
+            fps = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), fps, lists], ["doc_id", "node", "n", "fp", "keys"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(b.as_py(), size).view(np.int64) for b in batch.column(1)]
+            found = [np.unique(shingles(b.as_py(), size)).view(np.int64) for b in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "own"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("node", T.StringType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    fields = {"node": T.StringType(), "n": T.LongType(), "fp": T.LongType(), "keys": T.ArrayType(T.LongType())}
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), *(T.StructField(c, t) for c, t in fields.items())])
     prints = durable(source.select("doc_id", "node", "body").mapInArrow(signed, schema))
-    met = prints.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "n")
-    a, b = met.alias("a"), met.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
-    near &= (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    pairs = durable(a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    nodes = durable(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
-    held = source.select("node", "body").join(small_side(nodes, broadcast_nodes), F.col("node") == F.col("a"), "left_semi")
-    held = durable(held.dropDuplicates(["node"]).mapInArrow(sets, "node string, own array<bigint>"))
-    x, y = held.select(F.col("node").alias("a"), F.col("own").alias("x")), held.select(F.col("node").alias("b"), F.col("own").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    alike = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    roots = connected(pairs.join(x, "a").join(y, "b").where(alike).select("a", "b")).withColumnRenamed("node", "at")
-    named = prints.join(roots, F.col("node") == F.col("at"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    nodes = durable(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    # Nodes by band key, for keys that more than one node has.
+    met = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    shared = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = durable(met.join(shared, "key"))
+    # Fingerprints and their links, as pairs of nodes: each fingerprint's smallest node stands for it.
+    first = durable(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("c")))
+    same = nodes.join(first.where("c > 1"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    near = links(first.select("fp"), max_distance=max_distance).select(F.col("a").alias("f"), F.col("b").alias("g"))
+    near = near.join(first.select(F.col("fp").alias("f"), F.col("a")), "f").join(first.select(F.col("fp").alias("g"), F.col("a").alias("b")), "g")
+    tested = durable(near.select("a", "b").unionByName(same).distinct())
+    wanted = met.select("node").unionByName(tested.select(F.col("a").alias("node"))).unionByName(tested.select(F.col("b").alias("node"))).distinct()
+    wanted = durable(wanted.withColumnRenamed("node", "want"))
+    held = source.select("node", "body").join(small_side(wanted, broadcast_rows), F.col("node") == F.col("want"), "left_semi")
+    sets = durable(held.dropDuplicates(["node"]).mapInArrow(sets_of, "node string, own array<bigint>"))
+    edges = durable(similar(tested, sets, percent, broadcast_rows=broadcast_rows))
+    roots = connected(edges)
+
+    for turn in range(rounds + 1):
+        rest = met.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", F.lit(turn))).alias("lead"))
+        apart = durable(apart.where("low <> high").select(F.col("key").alias("k"), "lead"))
+        if apart.isEmpty():
+            break
+        rest = rest.join(small_side(apart, broadcast_rows), F.col("key") == F.col("k"))
+        fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
+        if turn < rounds:
+            pairs = rest.where((F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        else:  # what no leader has joined
+            rest = durable(rest.select("key", "node", "n", "root"))
+            x, y = rest.alias("x"), rest.alias("y")
+            both = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
+            pairs = x.join(y, both).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn == rounds else pairs.distinct()
+        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = durable(tested.unionByName(pairs))
+        new = durable(similar(pairs, sets, percent, broadcast_rows=broadcast_rows))
+        if not new.isEmpty():
+            edges = durable(edges.unionByName(new))
+            roots = connected(edges)
+
+    named = prints.select("doc_id", "node").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(names, "root").select("doc_id", "component_id")

@@ -436,7 +436,7 @@ def find_spans(docs: DataFrame, *, text: str = "text", most_training: int = 4_00
 def redact(found: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows of ``find_spans`` with each span of the text replaced by its kind in brackets; overlapping spans merge.
 
-    All columns of the rows stay in their order, whatever their names, and ``spans`` is added.
+    All columns of the rows stay in their order; ``spans`` is added and replaces a column of that name.
     """
     df = found.select("row", "spans", F.sort_array(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("__s"))
     df = df.withColumn("__reach", F.transform("__s", lambda s: s["end"]))
@@ -460,5 +460,5 @@ def redact(found: DataFrame, *, text: str = "text") -> DataFrame:
     n = F.col("__heads")
     part = lambda h: F.concat(cut(h["before"], h["start"]), F.lit("["), F.upper(h["kind"]), F.lit("]"))
     clean = F.when(F.size(n) > 0, F.concat(F.array_join(F.transform(n, part), ""), cut(F.col("__end"), F.length(body).cast("long")))).otherwise(body)
-    columns = found.schema["row"].dataType.names
+    columns = [c for c in found.schema["row"].dataType.names if c != "spans"]
     return df.select(*[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns], "spans")

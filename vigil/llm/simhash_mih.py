@@ -1,9 +1,12 @@
 """SimHash near-dedup by multi-index hashing.
 
 A fingerprint is cut into segments so that two fingerprints within the distance limit
-agree in some segment up to a small radius.  Every distinct fingerprint enumerates the
-Hamming ball of that radius within each of its segments; fingerprints that meet under
-a key are verified by their complete distance.  Only links are wanted, not all pairs:
+agree in some segment up to two small radii.  Every distinct fingerprint enumerates the
+Hamming ball of one radius within each of its segments, so two of them meet under a key
+when their segments differ by no more than twice the radius; those that meet are
+verified by their complete distance.  With radius 1 and four bits in all, two segments
+of 32 bits are enough, so strangers hardly meet even among 10^9 fingerprints (a key has
+33 n / 2^32 of them).  Only links are wanted, not all pairs:
 within a key a breadth-first search over what is not linked yet emits a spanning
 forest, so a dense group of near copies costs about its size, and no key can emit more
 links than it has fingerprints.  Equal texts share a fingerprint and are one node.
@@ -41,9 +44,14 @@ def fingerprint(text: str | None, words_in_shingle: int) -> int:
     k = min(words_in_shingle, len(words))
     begins = [0, *ends[:-1].tolist()][: len(words) - k + 1]
     hashes = [hashed(body[a:b], SEED) for a, b in zip(begins, (ends[k - 1 :] - 1).tolist(), strict=True)]
+    return fingerprint_of(np.array(hashes, np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 for none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), BLOCK):
-        part = np.array(hashes[at : at + BLOCK], "<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -100,10 +108,13 @@ def links_in(keys: np.ndarray, values: np.ndarray, limit: int) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
-def links(points: DataFrame, *, max_distance: int = 4, segments: int | None = None) -> DataFrame:
-    """a, b: links that join all of ``points`` (distinct fp) within ``max_distance`` bits, transitively."""
-    segments = segments or max(2, max_distance // 2 + 1)
-    radius = max_distance // segments
+def links(points: DataFrame, *, max_distance: int = 4, radius: int = 1) -> DataFrame:
+    """a, b: links that join all of ``points`` (distinct fp) within ``max_distance`` bits, transitively.
+
+    Over s segments two fingerprints agree somewhere within ``max_distance // s`` bits,
+    and balls of ``radius`` around both meet within twice the radius.
+    """
+    segments = max(2, -(-(max_distance + 1) // (2 * radius + 1)))
     keys = []
     for s in range(segments):
         low, high = s * BITS // segments, (s + 1) * BITS // segments
