@@ -64,7 +64,6 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int, pairs_per_task: int = 1000, broadcast_rows: int = 200_000) -> DataFrame:
     """The pairs (a, b) whose shingle sets (``sets``: node, own) reach the limit; a node in many pairs is dealt to many tasks."""
-    pairs = durable(pairs)
     slots = durable(pairs.groupBy("a").agg(F.ceil(F.count("*") / pairs_per_task).cast("int").alias("slots")))
     dealt = pairs.join(small_side(slots, broadcast_rows), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"))
     x = sets.join(slots, F.col("node") == F.col("a")).select("a", F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
@@ -76,7 +75,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int, pairs_per_task: int
 
 def components(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, max_distance: int = 4, bands: int = 24, rows: int = 5,
-    rounds: int = 3, broadcast_rows: int = 200_000,
+    rounds: int = 1, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over links, a row for each row of ``docs``.
 
@@ -120,35 +119,42 @@ def components(
     same = nodes.join(first.where("c > 1"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
     near = links(first.select("fp"), max_distance=max_distance).select(F.col("a").alias("f"), F.col("b").alias("g"))
     near = near.join(first.select(F.col("fp").alias("f"), F.col("a")), "f").join(first.select(F.col("fp").alias("g"), F.col("a").alias("b")), "g")
-    tested = durable(near.select("a", "b").unionByName(same).distinct())
+
+    def fits(m: Column, n: Column) -> Column:
+        return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+    def with_leader(rest: DataFrame, turn: int) -> DataFrame:
+        """Pairs of a leader of each key (one that many keys share) with the nodes of other components."""
+        lead = F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", F.lit(turn)))
+        apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), lead.alias("lead")).where("low <> high")
+        rest = rest.join(small_side(durable(apart.select(F.col("key").alias("k"), "lead")), broadcast_rows), F.col("key") == F.col("k"))
+        return rest.where((F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+
+    tested = durable(near.select("a", "b").unionByName(same).unionByName(with_leader(met.withColumn("root", F.col("node")), 0)).distinct())
     wanted = met.select("node").unionByName(tested.select(F.col("a").alias("node"))).unionByName(tested.select(F.col("b").alias("node"))).distinct()
     wanted = durable(wanted.withColumnRenamed("node", "want"))
     held = source.select("node", "body").join(small_side(wanted, broadcast_rows), F.col("node") == F.col("want"), "left_semi")
     sets = durable(held.dropDuplicates(["node"]).mapInArrow(sets_of, "node string, own array<bigint>"))
     edges = durable(similar(tested, sets, percent, broadcast_rows=broadcast_rows))
     roots = connected(edges)
-
-    for turn in range(rounds + 1):
+    for turn in range(1, rounds + 2):
         rest = met.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", F.lit(turn))).alias("lead"))
-        apart = durable(apart.where("low <> high").select(F.col("key").alias("k"), "lead"))
-        if apart.isEmpty():
-            break
-        rest = rest.join(small_side(apart, broadcast_rows), F.col("key") == F.col("k"))
-        fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-        if turn < rounds:
-            pairs = rest.where((F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        if turn <= rounds:
+            pairs = with_leader(rest, turn)
         else:  # what no leader has joined
-            rest = durable(rest.select("key", "node", "n", "root"))
+            open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("key").alias("k"))
+            rest = durable(rest.join(open_keys, F.col("key") == F.col("k"), "left_semi"))
             x, y = rest.alias("x"), rest.alias("y")
             both = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
             pairs = x.join(y, both).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn == rounds else pairs.distinct()
-        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = durable(tested.unionByName(pairs))
+        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        pairs = durable(pairs)
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
         new = durable(similar(pairs, sets, percent, broadcast_rows=broadcast_rows))
         if not new.isEmpty():
-            edges = durable(edges.unionByName(new))
+            edges = edges.unionByName(new)
             roots = connected(edges)
 
     named = prints.select("doc_id", "node").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))

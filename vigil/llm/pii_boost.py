@@ -47,7 +47,7 @@ KINDS = tuple(BASE)
 MORE_KINDS = ("iban", "ssn", "secret")
 #: Loose generators: an address with some "at", digit runs over blanks, digit runs without, account numbers, long tokens.
 LOOSE = {
-    "at": r"(?<![^\x20\x09-\x0D(<\[\"'])[A-Za-z0-9._%+-]{1,64}(?:\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,4}|\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,4})",
+    "at": r"(?<![^\x20\x09-\x0D(<\[\"'])[A-Za-z0-9._%+-]{1,64}+(?:\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,4}|\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,4})",
     "wide": r"(?<![0-9A-Za-z])[+(]?[0-9][0-9\x20().\-/]{6,26}[0-9](?![0-9A-Za-z])",
     "tight": r"(?<![0-9A-Za-z.\-])[0-9][0-9.\-/]{5,26}[0-9](?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
@@ -67,7 +67,7 @@ KEY_START = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abprs]
 #: Entries of an array that a running value passes over at once.
 BLOCK = 1024
 #: Windows with a planted span, and words in a window.
-PLANTS, WINDOW_WORDS = 12_000, 50
+PLANTS, WINDOW_WORDS = 6_000, 50
 FEATURES = (
     "kind", "n_chars", "n_digits", "n_letters", "n_upper", "n_vowels", "n_dots", "n_blanks", "n_hyphens", "n_slashes", "n_parens", "n_under", "n_at",
     "n_groups", "longest_group", "largest_part", "luhn", "mod97", "first_digit", "distinct_digits", "distinct_chars", "changes", "hex", "key_start",
@@ -138,7 +138,7 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str], out: str) -
     characters up to the kind's previous and next match.
     """
     body, no_text = F.col(text), F.array().cast("array<string>")
-    can = {"email": body.contains("@"), "at": body.contains("@") | body.contains("at)") | body.contains("at]") | body.contains(" at "), "phone": body.contains("+")}
+    can = {"email": body.contains("@"), "at": body.contains("@") | body.contains("at)") | body.contains("at]") | (body.contains(" at ") & body.contains(" dot ")), "phone": body.contains("+")}
     can |= {"iban": body.rlike("[A-Z]{2}[0-9]{2}"), "token": body.rlike(r"[A-Za-z0-9_\-+/]{16}")}
     some = body.rlike("[0-9]")
     lists = []
@@ -366,13 +366,13 @@ def boosted(rows: DataFrame, rounds: int, depth: int, seed: int) -> Trees:
     return Trees([parse_tree([x for x in t.toDebugString.split("\n")[1:] if x.strip()]) for t in model.trees], list(model.treeWeights), float("inf"))
 
 
-def train(texts: DataFrame, *, plants: int = PLANTS, rounds: int = 16, depth: int = 5, precision: float = 0.97, least_margin: float = 0.5, seed: int = 5) -> Trees | None:
+def train(texts: DataFrame, *, plants: int = PLANTS, rounds: int = 10, depth: int = 5, precision: float = 0.97, least_margin: float = 0.5, seed: int = 5) -> Trees | None:
     """Boosted trees from spans planted in ``texts`` (distinct body), three quarters to fit, one to calibrate.
 
     Planted items are more frequent than real ones, so a score below ``least_margin`` is
     never enough.  ``info`` has the precision and recall on the held-out candidates.  None if either class has fewer than 20 candidates: no span is added then.
     """
-    rows = durable(training_rows(planted(texts, plants=plants, seed=seed)).withColumn("features", array_to_vector("f")).repartition(8))
+    rows = durable(training_rows(planted(texts, plants=plants, seed=seed)).withColumn("features", array_to_vector("f")).repartition(2))  # some 10,000 rows
     counts = rows.where("known").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("pos")).first()
     if min(counts.pos, counts.n - counts.pos) < 20:
         return None

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,20 +157,22 @@ def connected(edges: DataFrame) -> DataFrame:
     def lowest(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """Checkpointed, with what tells one round's links from another's (counted on the way)."""
+        seen = Observation()
+        e = durable(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        return e, (seen.get["n"], seen.get["h"])
 
     u, v = F.greatest("a", "b"), F.least("a", "b")
-    e = durable(edges.select(u.alias("u"), v.alias("v")).where("u <> v").distinct())
-    seen = mark(e)
+    e, seen = kept(edges.select(u.alias("u"), v.alias("v")).where("u <> v").distinct())
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = large.join(lowest(large), "u")
-        e = durable(
+        e, now = kept(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         )
-        if (now := mark(e)) == seen:
+        if now == seen:
             break
         seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
