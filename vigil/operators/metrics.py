@@ -11,15 +11,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def running(df: DataFrame, by: list[str], p: str, sums: dict[str, str], parts: int = 64) -> DataFrame:
+    """df plus running and total sums (``sums``: column -> name; total_<name> too) from the largest ``p`` down, by group.
+
+    ``p`` must be distinct within a group.  Rows are cut into ranges of p by approximate
+    quantiles, ranges are summed first, and windows run within a range only: the result
+    is exact whatever the cuts, and no group passes through one task.
+    """
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__k{i}") for i, c in enumerate(by)] or [F.lit("").alias("__k0")]
+    names = [f"__k{i}" for i in range(len(keys))]
+    df = df.select("*", *keys)
+    edges = df.groupBy(*names).agg(F.percentile_approx(p, [i / parts for i in range(1, parts)], 1000).alias("__edges"))
+    placed = df.join(edges, names).withColumn("__part", F.size(F.filter("__edges", lambda e: e > F.col(p)))).drop("__edges")
+    whole = Window.partitionBy(*names)
+    ranges = placed.groupBy(*names, "__part").agg(*[F.sum(c).alias(f"__s_{n}") for c, n in sums.items()])  # at most ``parts`` a group
+    ahead = [(F.sum(f"__s_{n}").over(whole.orderBy("__part")) - F.col(f"__s_{n}")).alias(f"__b_{n}") for n in sums.values()]
+    ranges = ranges.select(*names, "__part", *ahead, *[F.sum(f"__s_{n}").over(whole).alias(f"total_{n}") for n in sums.values()])
+    down = Window.partitionBy(*names, "__part").orderBy(F.desc(p))
+    out = placed.join(ranges, [*names, "__part"])
+    return out.withColumns({n: F.sum(c).over(down) + F.col(f"__b_{n}") for c, n in sums.items()}).drop(*names, "__part", *[f"__b_{n}" for n in sums.values()])
+
+
 def curve(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """One row per distinct score of each group: cumulative positives and rows from the top, and totals."""
     steps = df.groupBy(*by, p).agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("pos"))
-    down, whole = Window.partitionBy(*by).orderBy(F.desc(p)), Window.partitionBy(*by)
-    return steps.select(
-        *by, p, "n", "pos",
-        F.sum("n").over(down).alias("cum_n"), F.sum("pos").over(down).alias("cum_pos"),
-        F.sum("n").over(whole).alias("total"), F.sum("pos").over(whole).alias("positives"),
-    )
+    out = running(steps, by, p, {"n": "cum_n", "pos": "cum_pos"})
+    return out.select(*by, p, "n", "pos", "cum_n", "cum_pos", F.col("total_cum_n").alias("total"), F.col("total_cum_pos").alias("positives"))
 
 
 def ranking_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -34,6 +51,14 @@ def ranking_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") ->
     )
 
 
+def slice_report(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """threshold_metrics plus average precision and AUC; a group with a single class has its accuracy only."""
+    both = threshold_metrics(df, by, y, p).join(ranking_metrics(df, by, y, p), by)
+    mixed = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
+    always = (*by, "n", "positives", "accuracy", "positive_rate")
+    return both.select(*[F.col(c) if c in always else F.when(mixed, F.col(c)).alias(c) for c in both.columns])
+
+
 def threshold_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", at: float = 0.5) -> DataFrame:
     """Counts, accuracy, precision, recall, F1 (0 where undefined), Brier score and positive rate."""
     hit, true = F.col(p) >= at, F.col(y) == 1
@@ -78,11 +103,11 @@ def clipped_brier(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> D
 
 
 def rank_fusion(df: DataFrame, streams: list[str], key: str = "doc_id", k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion: sum of 1 / (k + rank), rank counted over distinct scores' cumulative sizes."""
+    """Reciprocal rank fusion: sum of 1 / (k + rank), rank counted over distinct scores' cumulative sizes (null scores have none)."""
     out = df.select(key, *streams)
     for s in streams:
-        steps = df.groupBy(s).agg(F.count("*").alias("n"))
-        ranks = steps.select(F.col(s).alias("__s"), (F.sum("n").over(Window.orderBy(F.desc(s))) - F.col("n") + 1).alias(f"rank_{s}"))
+        steps = running(df.where(F.col(s).isNotNull()).groupBy(s).agg(F.count("*").alias("n")), [], s, {"n": "upto"})
+        ranks = steps.select(F.col(s).alias("__s"), (F.col("upto") - F.col("n") + 1).alias(f"rank_{s}"))
         out = out.join(ranks, F.col(s).eqNullSafe(F.col("__s")), "left").drop("__s")
     total = reduce(lambda a, b: a + b, (1.0 / (k + F.col(f"rank_{s}")) for s in streams))
     return out.select(key, *[f"rank_{s}" for s in streams], F.round(total, 8).alias("fused"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,17 @@ def ingest_signals(records: DataFrame, vulns: DataFrame) -> DataFrame:
 
 
 def exploit_summary(exploits: DataFrame) -> DataFrame:
-    """Per CVE: first date, rows, any Metasploit, first Metasploit date, the first five exploit ids in file order."""
-    return exploits.groupBy("cve_id").agg(
-        F.min("published").alias("first_date"), F.count("*").alias("n"), F.bool_or("msf").alias("msf"), F.min(F.when(F.col("msf"), F.col("published"))).alias("msf_date"),
-        F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("pos", "exploit_id"))), 1, 5), lambda x: x["exploit_id"].cast("string")), ",").alias("ids"),
-    )
+    """Per CVE: first date, rows, any Metasploit, first Metasploit date, the first five exploit ids in file order.
+
+    The five are ranked before they are listed, so no group is held whole.
+    """
+    sums = exploits.groupBy("cve_id").agg(
+        F.min("published").alias("first_date"), F.count("*").alias("n"), F.bool_or("msf").alias("msf"), F.min(F.when(F.col("msf"), F.col("published"))).alias("msf_date")
+    )
+    place = F.row_number().over(Window.partitionBy("cve_id").orderBy("pos", "exploit_id"))
+    first = exploits.select("cve_id", "pos", "exploit_id").withColumn("place", place).where("place <= 5")
+    ids = first.groupBy("cve_id").agg(F.sort_array(F.collect_list(F.struct("place", "exploit_id"))).alias("five"))
+    return sums.join(ids, "cve_id").select("cve_id", "first_date", "n", "msf", "msf_date", F.array_join(F.transform("five", lambda x: x["exploit_id"].cast("string")), ",").alias("ids"))
 
 
 def missing_rows(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,3 +76,66 @@ def write_partitioned(df: DataFrame, path: str, by: str, overwrite: bool = False
     else:
         writer = writer.mode("append")
     writer.parquet(path)
+
+
+def exploit_signals(held: DataFrame, exploits: DataFrame, vulns: DataFrame, now: str) -> DataFrame:
+    """Signals to add from exploit rows: the earliest of each CVE and kind, of known items, unless (item, kind, source) is held."""
+    rows = exploit_summary(exploits).join(vulns.select("cve_id", "vuln_id"), "cve_id")
+    at = lambda c: F.coalesce(F.col(c).cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz"))
+    kinds = F.array(
+        F.struct(F.lit("poc_exploitdb").alias("signal_type"), at("first_date").alias("observed_at")),
+        F.when(F.col("msf"), F.struct(F.lit("metasploit").alias("signal_type"), at("msf_date").alias("observed_at"))),
+    )
+    new = rows.select("vuln_id", F.explode(F.array_compact(kinds)).alias("s")).select("vuln_id", "s.signal_type", "s.observed_at", F.lit(True).alias("value_bool"), F.lit("exploitdb").alias("source"))
+    return missing_rows(held, new, ["vuln_id", "signal_type", "source"])
+
+
+def label_rows(held: DataFrame, new: DataFrame, overwrite: bool = False) -> DataFrame:
+    """The label table after a run: new rows join unless (item, policy) is there; with ``overwrite`` they replace the rows of their policies."""
+    if overwrite:
+        return held.join(new.select("policy").distinct(), "policy", "left_anti").select(*held.columns).unionByName(new)
+    return held.unionByName(missing_rows(held, new, ["vuln_id", "policy"]))
+
+
+def snapshot_rows(held: DataFrame, features: DataFrame, asof: str, version: str = "v1") -> DataFrame:
+    """Snapshots to add: features with asof and version, unless (item, asof, version) is held."""
+    rows = features.withColumns({"asof": F.lit(asof).cast("date"), "version": F.lit(version)})
+    return missing_rows(held, rows, ["vuln_id", "asof", "version"])
+
+
+def vex_rows(statements: DataFrame, vulns: DataFrame, now: str) -> DataFrame:
+    """Statements (cve_id, ...) as rows by item for an append; unknown CVEs drop out, no asset is named."""
+    rows = ingest_signals(statements, vulns)
+    return rows.withColumns({"asset_id": F.lit(None).cast("long"), "observed_at": F.lit(now).cast("timestamp_ntz")})
+
+
+def vector_payload(df: DataFrame, key: str, vector: str, texts: dict[str, int]) -> DataFrame:
+    """id, vector and the payload columns cut to their lengths: one row per key (the last by content), as an upsert needs."""
+    cut = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"), *[F.substring(c, 1, n).alias(c) for c, n in texts.items()])
+    rest = F.struct(*[c for c in cut.columns if c != "id"])
+    return cut.groupBy("id").agg(F.max(rest).alias("r")).select("id", "r.*")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON record a row."""
+    df.write.mode("overwrite").json(path)
+
+
+#: Schemas of the observation tables, for tables that are created empty.
+SCHEMAS = {
+    "vulnerability": "vuln_id long, source string, cve_id string, vuldb_id string, published_at timestamp_ntz, title string, description string, cvss_version string, cvss_vector string, cvss_base_score double, cwe_ids array<string>, references array<struct<url:string,source:string>>, affected_products array<struct<vendor:string,product:string,version:string,cpe:string>>",
+    "signal": "id long, vuln_id long, signal_type string, observed_at timestamp_ntz, value_num double, value_bool boolean, source string",
+    "label": "vuln_id long, policy string, label_value int, rationale string, contributors string",
+    "asset": "asset_id long, name string, criticality string, internet_facing boolean",
+    "decision": "asset_id long, vuln_id long, action string, confidence double, policy_name string, policy_version string, decided_at timestamp_ntz, sla_deadline timestamp_ntz",
+}
+
+
+def create_tables(spark: SparkSession, folder: str) -> None:
+    """Every table of ``SCHEMAS`` that is not there yet, empty."""
+    for table, schema in SCHEMAS.items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{table}")

@@ -485,13 +485,10 @@ def a16(spark, sf):
 
 # --- retrieval and extraction ----------------------------------------------------
 
-_COS = "select q.vec_id query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) s from embeddings e, (select * from embeddings where vec_id<20) q where e.vec_id<>q.vec_id and e.label=3"
+_COS = "select q.vec_id query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) s from embeddings e, (select * from embeddings where vec_id%20=0) q where e.vec_id<>q.vec_id and e.label=3"
 
 
-_COS_ALL = "select q.vec_id query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) s from embeddings e, (select * from embeddings where vec_id%20=0) q where e.vec_id<>q.vec_id and e.label=3"
-
-
-def _near(spark: SparkSession, sf: str, k: int, least: float | None, asked: str = "vec_id < 20") -> DataFrame:
+def _near(spark: SparkSession, sf: str, k: int, least: float | None, asked: str = "vec_id % 20 = 0") -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return text.nearest_vectors(e, q, k, F.col("label") == 3, least).withColumn("rank", F.col("rank").cast("long"))
@@ -507,14 +504,14 @@ def r02(spark, sf):
     return _near(spark, sf, 5, 0.3)
 
 
-@query("r01_nearest_all", f"select query_id, rn \"rank\", vec_id, round(s,4) score from (select *, row_number() over(partition by query_id order by s desc, vec_id) rn from ({_COS_ALL})) where rn<=5")
+@query("r01_nearest_all", f"select query_id, rn \"rank\", vec_id, round(s,4) score from (select *, row_number() over(partition by query_id order by s desc, vec_id) rn from ({_COS})) where rn<=5")
 def r01_all(spark, sf):
-    return _near(spark, sf, 5, None, "vec_id % 20 = 0")
+    return _near(spark, sf, 5, None)
 
 
-@query("r02_min_score_all", f"select query_id, rn \"rank\", vec_id, round(s,4) score from (select *, row_number() over(partition by query_id order by s desc, vec_id) rn from ({_COS_ALL})) where rn<=5 and s>=0.3")
+@query("r02_min_score_all", f"select query_id, rn \"rank\", vec_id, round(s,4) score from (select *, row_number() over(partition by query_id order by s desc, vec_id) rn from ({_COS})) where rn<=5 and s>=0.3")
 def r02_all(spark, sf):
-    return _near(spark, sf, 5, 0.3, "vec_id % 20 = 0")
+    return _near(spark, sf, 5, 0.3)
 
 
 def _ci(p: str, col: str = "t") -> str:
@@ -542,9 +539,9 @@ def r08(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.size(text.unsafe_hits(F.col("html"))).cast("long").alias("hits"))
 
 
-@query("p23_query_text", """select vuln_id, trim(coalesce(description,'') || case when cwe_list is not null then ' Weakness types: '||array_to_string(string_split(cwe_list,','),', ') else '' end || ' Affected software: '||vendor||' '||product) query from b_vuln where description is null or description not like ' %'""", "b_vuln")
+@query("p23_query_text", """select vuln_id, trim(coalesce(description,'') || case when cwe_list is not null then ' Weakness types: '||array_to_string(string_split(cwe_list,','),', ') else '' end || ' Affected software: '||vendor||' '||product) query from b_vuln""", "b_vuln")
 def p23(spark, sf):
-    v = view(spark, sf, "b_vuln").where("description is null or description not like ' %'")
+    v = view(spark, sf, "b_vuln")
     return v.select("vuln_id", F.trim(text.query_text(F.col("description"), F.split("cwe_list", ","), F.array(F.concat_ws(" ", "vendor", "product")))).alias("query"))
 
 
@@ -564,7 +561,7 @@ def s05(spark, sf):
     return feeds.date_chunks(spark, "2024-01-01", "2024-12-31")
 
 
-_CODES = "select l_orderkey*1000+l_linenumber id, concat(case when l_linenumber%3=0 then '' else concat('CVE-2024-', cast(l_partkey as varchar(12)), ';') end, 'OSVDB-1;CVE-2023-', cast(l_suppkey as varchar(12))) codes, cast(l_shipdate as date) shipped, case when l_linenumber%4=0 then 'x,Metasploit' else 'y' end tags from {lineitem} where l_quantity < 4"
+_CODES = "select l_orderkey*1000+l_linenumber id, concat(case when l_linenumber%3=0 then '' else concat('CVE-2024-', cast(l_partkey as varchar(12)), ';') end, 'OSVDB-1;CVE-2023-', cast(l_suppkey as varchar(12))) codes, cast(l_shipdate as date) shipped, case when l_linenumber%4=0 then 'x,Metasploit' else 'y' end tags from {lineitem}"
 
 
 def _exploits(spark: SparkSession, sf: str) -> DataFrame:
@@ -580,20 +577,20 @@ def s19(spark, sf):
     return _exploits(spark, sf).drop("description")
 
 
-@query("a03_exploit_summary", _EXPLODED + " select cve_id, min(published) first_date, count(*) n, bool_or(msf) msf, min(published) filter(msf) msf_date from e group by 1")
+@query("a03_exploit_summary", _EXPLODED + " select cve_id, min(published) first_date, count(*) n, bool_or(msf) msf, min(published) filter(msf) msf_date, array_to_string(list_slice(list(exploit_id order by exploit_id),1,5),',') ids from e group by 1")
 def a03(spark, sf):
-    return sinks.exploit_summary(_exploits(spark, sf).withColumn("pos", F.col("exploit_id"))).drop("ids")
+    return sinks.exploit_summary(_exploits(spark, sf).withColumn("pos", F.col("exploit_id")))
 
 
-@query("k01_insert_if_absent", """, n as (select s_suppkey pos, case when s_suppkey%4=0 then null else concat('CVE-2024-', cast(s_suppkey%60 as varchar)) end cve_id, 'x' source, concat('V', cast(s_suppkey%25 as varchar)) vuldb_id from supplier),
+@query("k01_insert_if_absent", """, n as (select s_suppkey pos, case when s_suppkey%4=0 then null else concat('CVE-2024-', cast((s_suppkey-s_suppkey%2)*61 as varchar)) end cve_id, 'x' source, concat('V', cast(s_suppkey%25 as varchar)) vuldb_id from supplier),
 k as (select *, case when cve_id is not null then 'c:'||cve_id else 'v:'||source||':'||vuldb_id end k from n), f as (select *, row_number() over(partition by k order by pos) rn from k)
-select pos, cve_id, source, vuldb_id from f where rn=1 and not exists (select 1 from b_vuln v where 'c:'||v.cve_id=f.k and v.vuln_id<20)""", "b_vuln")
+select pos, cve_id, source, vuldb_id from f where rn=1 and not exists (select 1 from b_vuln v where 'c:'||v.cve_id=f.k)""", "b_vuln")
 def k01(spark, sf):
     s = F.col("s_suppkey")
     new = spark.read.parquet(f"{sf}/supplier.parquet").select(
-        s.alias("pos"), F.when(s % 4 != 0, F.concat(F.lit("CVE-2024-"), s % 60)).alias("cve_id"), F.lit("x").alias("source"), F.concat(F.lit("V"), s % 25).alias("vuldb_id")
+        s.alias("pos"), F.when(s % 4 != 0, F.concat(F.lit("CVE-2024-"), (s - s % 2) * 61)).alias("cve_id"), F.lit("x").alias("source"), F.concat(F.lit("V"), s % 25).alias("vuldb_id")
     )
-    held = view(spark, sf, "b_vuln").where("vuln_id < 20").select("cve_id", F.lit("y").alias("source"), F.lit(None).cast("string").alias("vuldb_id"))
+    held = view(spark, sf, "b_vuln").select("cve_id", F.lit("y").alias("source"), F.lit(None).cast("string").alias("vuldb_id"))
     return sinks.insert_if_absent(held, new, "pos")
 
 
