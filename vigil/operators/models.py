@@ -65,7 +65,28 @@ def stack(df: DataFrame, streams: list[str], label: str = "y", key: str = "doc_i
         if ap > top:
             best, top = blend, ap
     model = Pipeline(stages=[*head, best]).fit(meta)
-    return model, model.transform(meta).select(key, label, vector_to_array("probability")[1].alias("p"))
+    meta.unpersist()
+    return model, stacked(model, df, streams).select(key, label, "p")
+
+
+def stacked(model: PipelineModel, df: DataFrame, streams: list[str]) -> DataFrame:
+    """df plus p, the score of a fitted stack over its streams."""
+    out = model.transform(meta_features(df, streams))
+    return out.select(*df.columns, vector_to_array("probability")[1].alias("p"))
+
+
+def text_head(df: DataFrame, label: str, vector: str = "embedding") -> PipelineModel:
+    """Balanced logistic regression on given text vectors."""
+    rows = weighted(df.withColumn("x", array_to_vector(F.col(vector).cast("array<double>"))), label)
+    return Pipeline(stages=[LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight")]).fit(rows)
+
+
+def text_scores(df: DataFrame, head: PipelineModel | None, vector: str = "embedding") -> DataFrame:
+    """df plus p by a text head; 0.5 throughout without one."""
+    if head is None:
+        return df.withColumn("p", F.lit(0.5))
+    out = head.transform(df.withColumn("x", array_to_vector(F.col(vector).cast("array<double>"))))
+    return out.select(*df.columns, vector_to_array("probability")[1].alias("p"))
 
 
 def calibrated(df: DataFrame, label: str = "y", score: str = "p", method: str = "sigmoid") -> DataFrame:

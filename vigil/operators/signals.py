@@ -71,12 +71,17 @@ def vulnerability_features(vulns: DataFrame, signals: DataFrame, asof: str, mode
         *core.cwe_features(cwes),
         F.length(text).cast("double").alias("description_length"),
         core.word_count(text).cast("double").alias("description_word_count"),
-        F.when(F.col("product").isNull(), 0.0).otherwise(1.0).alias("product_count"),
-        F.lit(0.0).alias("reference_count"),
+        _count(vulns, "affected_products", F.when(F.col("product").isNull(), 0.0).otherwise(1.0)).alias("product_count"),
+        _count(vulns, "references", F.lit(0.0)).alias("reference_count"),
         core.composite_score(cvss, epss, flag("kev"), flag("poc"), flag("msf"), count).alias("composite_exploit_score"),
     )
 
 
+def _count(df: DataFrame, column: str, otherwise: Column) -> Column:
+    """Entries of an array column (null: none), or what holds for tables without that column."""
+    return F.coalesce(F.size(column), F.lit(0)).cast("double") if column in df.columns else otherwise
+
+
 @dataclass(frozen=True)
 class LabelPolicy:
     name: str

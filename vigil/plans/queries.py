@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import core
-from vigil.operators import assets, audit, dashboard, metrics, models, signals, sinks, text
+from vigil.operators import assets, audit, dashboard, experiments, metrics, models, signals, sinks, text
 from vigil.sources import feeds
 from vigil.sources.bindings import ASOF, oracle, view
 from vigil.streaming import signal_log
@@ -623,6 +623,166 @@ def s14(spark, sf):
     return v.select("vuln_id", feeds.parse_cpe(cpe).alias("c")).where("c is not null").select("vuln_id", F.col("c.vendor").alias("v"), F.col("c.product").alias("p"), F.col("c.version").alias("version"))
 
 
+# --- experiments ---------------------------------------------------------------------
+
+@query("p10_counts", """select vuln_id, len(string_split(title,' '))::double product_count, case when vuln_id%3=0 then 0e0 else len(string_split(product,'_'))::double end reference_count from b_vuln""", "b_vuln")
+def p10(spark, sf):
+    v = view(spark, sf, "b_vuln")
+    v = v.withColumns({"affected_products": F.split("title", " "), "references": F.when(F.col("vuln_id") % 3 != 0, F.split("product", "_"))})
+    return signals.vulnerability_features(v, view(spark, sf, "b_signal"), ASOF).select("vuln_id", "product_count", "reference_count")
+
+
+_CPE = """, s as (select asset_id, vendor v, product p, confidence from b_sbom union all select asset_id, concat('x',vendor), product, confidence from b_sbom),
+k as (select vuln_id, replace(vendor,'_',' ') v, replace(product,'_',' ') p from b_vuln), m as (select s.asset_id, s.confidence, replace(v,'_',' ') v, replace(p,'_',' ') p from s)
+select m.asset_id, k.vuln_id, coalesce(max(confidence),0.8e0) best from k join m using(v,p) group by all"""
+
+
+def _software(spark: SparkSession, sf: str) -> DataFrame:
+    """Components whose vendor is spelled otherwise, and whose CPE has the right one."""
+    cpe = F.concat(F.lit("cpe:2.3:a:"), "vendor", F.lit(":"), "product", F.lit(":1.0"))
+    return experiments.software_keys(view(spark, sf, "b_sbom").select("asset_id", F.concat(F.lit("x"), "vendor").alias("vendor"), "product", "confidence", cpe.alias("cpe")))
+
+
+def _products(spark: SparkSession, sf: str) -> DataFrame:
+    one = F.array(F.struct(F.upper("vendor").alias("vendor"), "product", F.lit(None).cast("string").alias("cpe")))
+    return experiments.product_keys(view(spark, sf, "b_vuln"), one)
+
+
+@query("j08_cpe_match", _CPE, "b_vuln", "b_sbom")
+def j08(spark, sf):
+    return experiments.product_matches(_products(spark, sf), _software(spark, sf))
+
+
+@query("j09_items_to_score", " select vuln_id from b_vuln v where exists (select 1 from b_sbom s where s.vendor=v.vendor and s.product=v.product)", "b_vuln", "b_sbom")
+def j09(spark, sf):
+    v = view(spark, sf, "b_vuln")
+    return experiments.items_to_score(v, _products(spark, sf), _software(spark, sf)).select("vuln_id")
+
+
+@query("w04_latest_epss", "select vuln_id, arg_max(value_num, (observed_at, id)) value_num from b_signal where signal_type='epss' group by 1", "b_signal")
+def w04(spark, sf):
+    return experiments.latest_by_time(view(spark, sf, "b_signal"), "epss")
+
+
+@query("l04_top_cvss", "select vuln_id, cvss_base_score from b_vuln order by cvss_base_score desc nulls last, vuln_id limit 12", "b_vuln")
+def l04(spark, sf):
+    return experiments.top_by_cvss(view(spark, sf, "b_vuln"), 12).select("vuln_id", "cvss_base_score")
+
+
+@query("l07_violators", f"select vuln_id, published_at from b_vuln where published_at > timestamp '{ASOF}' order by published_at, vuln_id limit 5", "b_vuln")
+def l07(spark, sf):
+    return experiments.violators(view(spark, sf, "b_vuln"), ASOF).select("vuln_id", "published_at")
+
+
+@query("x02_pair_overlap", "select distinct concat(asset_id::varchar,'_',vuln_id::varchar) entity from b_reach where vuln_id is not null and (asset_id, vuln_id) in (select asset_id, vuln_id from b_vex where asset_id is not null) order by 1 limit 10", "b_reach", "b_vex")
+def x02(spark, sf):
+    return experiments.overlaps(view(spark, sf, "b_reach"), view(spark, sf, "b_vex").where("asset_id is not null"), ["asset_id", "vuln_id"])
+
+
+@query("p17_shown_text", "select vuln_id, case when length(description)>40 then left(description,40)||'…' else description end shown from b_vuln", "b_vuln")
+def p17(spark, sf):
+    return view(spark, sf, "b_vuln").select("vuln_id", experiments.shown_text(F.col("description"), 40).alias("shown"))
+
+
+@query("d19_label_frame", _ALL_LABELS + " select v.vuln_id, cvss_base_score, label_value from b_vuln v join labels4 l on l.vuln_id=v.vuln_id and l.policy='kev_strict'", "b_vuln", "b_signal")
+def d19(spark, sf):
+    return experiments.training_frame(view(spark, sf, "b_vuln").select("vuln_id", "cvss_base_score"), _all_labels(spark, sf), "kev_strict")
+
+
+@query("d24_audit_report", f"""select * from (select 'temporal' "check", count(*) filter(published_at > timestamp '{ASOF}')=0 passed, (count(*) filter(published_at > timestamp '{ASOF}'))::varchar||' of '||count(*)::varchar detail from b_vuln)
+union all select 'label', true, '' union all select 'overall', count(*) filter(published_at > timestamp '{ASOF}')=0, 'kev_strict' from b_vuln""", "b_vuln")
+def d24(spark, sf):
+    return experiments.audit_report(view(spark, sf, "b_vuln"), None, ASOF, "kev_strict")
+
+
+@query("d26_asset_slices", _EV + """, f as (select internet_facing i, case coalesce(criticality,'medium') when 'low' then 0.25e0 when 'medium' then 0.5e0 when 'high' then 0.75e0 when 'critical' then 1e0 else 0.5e0 end c, coalesce(network,false) n,
+round(coalesce((coalesce(waf,false)::int+coalesce(edr,false)::int+coalesce(ips,false)::int+coalesce(seg,false)::int)::double/4*mean,0)+1e-9,4) k from j),
+x as (select unnest(list_filter(['overall','no_kev', case when i then 'internet_facing' end, case when c>=0.75 then 'crown_jewel' end, case when n then 'reachable_confirmed' end, case when k>=0.5 then 'high_control_coverage' end], lambda e: e is not null)) slice from f)
+select slice, count(*) n from x group by 1""", *_PAIRS)
+def d26(spark, sf):
+    pair, asset, vuln, _, sbom, vex, reach, control = _pairs(spark, sf)
+    df = assets.actionability_features(pair, asset, vuln, sbom, vex, reach, control, ASOF).withColumn("one", F.lit(1))
+    return audit.apply_slices(df, ["one"]).groupBy("slice").agg(F.count("*").alias("n"))
+
+
+_REPORT = """, g as (select slice, p, count(*) n, sum(y) pos from x group by all), w as (select *, sum(n) over d cn, sum(pos) over d cp, sum(n) over(partition by slice) tn, sum(pos) over(partition by slice) tp from g window d as (partition by slice order by p desc)),
+r as (select slice, round(sum(pos/nullif(tp,0)*cp/cn),6) ap, round(sum(pos*((tn-cn)-(tp-cp)+(n-pos)/2e0))/nullif(max(tp*(tn-tp)),0),6) auc from w group by 1),
+t as (select slice, """ + _THRESHOLD + """ from x group by 1)
+select slice, n, positives, accuracy, positive_rate, """ + ", ".join(f'case when positives>0 and positives<n then "{c}" end "{c}"' for c in ("precision", "recall", "f1", "brier")) + """,
+case when positives>0 and positives<n then ap end average_precision, case when positives>0 and positives<n then auc end roc_auc from t join r using(slice)"""
+
+
+@query("d28_slice_report", _SIG + _SLICED + _REPORT, "b_vuln", "b_signal")
+def d28_report(spark, sf):
+    return metrics.slice_report(_sliced(spark, sf), ["slice"])
+
+
+@query("d37_decide_items", _SIG + """, e as (select vuln_id, coalesce(cvss_base_score,0) cvss, coalesce(epss_max,0) epss, coalesce(kev,false) k, coalesce(poc,false) or coalesce(msf,false) o from b_vuln left join sig using(vuln_id)),
+r as (select *, 0.45e0*least(cvss/10,1e0)+0.45e0*epss risk from e) select vuln_id, case when k then 'mitigate_now' when o then 'patch_window' when risk>=0.7 then 'monitor' when risk>=0.3 then 'monitor' else 'accept' end "action" from r""", "b_vuln", "b_signal")
+def d37(spark, sf):
+    known = signals.signal_pivot(signals.asof_filter(view(spark, sf, "b_signal"), ASOF))
+    return assets.decide_pairs(experiments.bare_evidence(view(spark, sf, "b_vuln"), known)).select("vuln_id", "action")
+
+
+@query("j11_decide_with_model", _DECIDE.replace("0.15e0*least(cvss/10,1e0)+0.15e0*epss", "case when vuln_id%3=0 then 0.15e0*least(cvss/10,1e0)+0.15e0*epss else 0.3e0*((vuln_id%10)/10e0) end").replace("cvss>=9 or epss>=0.5 sev", "cvss>=9 or epss>=0.5 or (vuln_id%3<>0 and vuln_id%10>=7) sev")
+       + " select asset_id, vuln_id, round(risk+1e-9,4) risk, action from dd", *_PAIRS)
+def j11(spark, sf):
+    ml = view(spark, sf, "b_vuln").where("vuln_id % 3 <> 0").select("vuln_id", ((F.col("vuln_id") % 10) / 10).alias("prob"))
+    return assets.decide_pairs(_evidence(spark, sf), ml).select("asset_id", "vuln_id", "risk", "action")
+
+
+@query("m14_mean_blend", "select doc_id, round((p1+p2+p3)/3,8) p from b_score", "b_score")
+def m14(spark, sf):
+    return experiments.blend(view(spark, sf, "b_score"), STREAMS).select("doc_id", F.round("p", 8).alias("p"))
+
+
+@query("k04_exploit_signals", _EXPLODED.replace("with ", ", ", 1) + """, a as (select cve_id, min(published) d, bool_or(msf) m, min(published) filter(msf) md from e group by 1), n as (select vuln_id, 'poc_exploitdb' signal_type, d::timestamp observed_at from a join b_vuln using(cve_id)
+union all select vuln_id, 'metasploit', md::timestamp from a join b_vuln using(cve_id) where m) select * from n where not (signal_type='poc_exploitdb' and vuln_id%5=0)""", "b_vuln")
+def k04(spark, sf):
+    v = view(spark, sf, "b_vuln")
+    held = v.where("vuln_id % 5 = 0").select("vuln_id", F.lit("poc_exploitdb").alias("signal_type"), F.lit("exploitdb").alias("source"))
+    rows = _exploits(spark, sf).withColumn("pos", F.col("exploit_id"))
+    return sinks.exploit_signals(held, rows, v, f"{ASOF} 00:00:00").select("vuln_id", "signal_type", "observed_at")
+
+
+@query("k05_label_rows", _ALL_LABELS + " select vuln_id, policy, 9::bigint label_value from labels4 where policy='kev_strict' and vuln_id%2=0 union all select vuln_id, policy, label_value from labels4 where not (policy='kev_strict' and vuln_id%2=0)", "b_vuln", "b_signal")
+def k05(spark, sf):
+    new = _all_labels(spark, sf).select("vuln_id", "policy", "label_value")
+    held = new.where("policy = 'kev_strict' and vuln_id % 2 = 0").withColumn("label_value", F.lit(9).cast("long"))
+    return sinks.label_rows(held, new)
+
+
+@query("k06_snapshots", f"select vuln_id, date '{ASOF}' as \"asof\" from b_vuln where vuln_id%4<>0", "b_vuln")
+def k06(spark, sf):
+    v = view(spark, sf, "b_vuln").select("vuln_id", "cvss_base_score")
+    held = v.where("vuln_id % 4 = 0").select("vuln_id", F.lit(ASOF).cast("date").alias("asof"), F.lit("v1").alias("version"))
+    return sinks.snapshot_rows(held, v, ASOF).select("vuln_id", "asof")
+
+
+@query("k08_vex_rows", "select v.vuln_id, status from (select concat('CVE-2024-', cast(vuln_id*2 as varchar)) cve_id, status from b_vex) s join b_vuln v using(cve_id)", "b_vuln", "b_vex")
+def k08(spark, sf):
+    rows = view(spark, sf, "b_vex").select(F.concat(F.lit("CVE-2024-"), F.col("vuln_id") * 2).alias("cve_id"), "status")
+    return sinks.vex_rows(rows, view(spark, sf, "b_vuln"), f"{ASOF} 00:00:00").select("vuln_id", "status")
+
+
+@query("k09_vector_payload", "select doc_id id, left(text,500) text, lang from documents qualify row_number() over(partition by doc_id order by text desc)=1")
+def k09(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("v", F.array(F.lit(0.0)))
+    return sinks.vector_payload(docs, "doc_id", "v", {"text": 500, "lang": 5}).drop("vector")
+
+
+@query("f09_in_list", "select vuln_id from b_vuln where cve_id in ('CVE-2024-3','CVE-2024-44','CVE-2024-0')", "b_vuln")
+def f09(spark, sf):
+    v = view(spark, sf, "b_vuln")
+    return experiments.items_to_score(v, v, v, ["CVE-2024-3", "CVE-2024-44", "CVE-2024-0"]).select("vuln_id")
+
+
+@query("s27_technique_registry", "select 'T'||(user_id%40)::varchar technique_id, arg_max(event_type, event_id) name from events group by 1")
+def s27(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.concat(F.lit("T"), F.col("user_id") % 40).alias("technique_id"), F.col("event_type").alias("name"), F.col("event_id").alias("pos"))
+    return experiments.techniques(e)
+
+
 # --- models and streaming (no SQL form) ------------------------------------------------
 
 @query("m02_trees")
@@ -645,16 +805,15 @@ def m18(spark, sf):
     return models.reduced_vectors(e.where("label < 5"), e).drop("embedding")
 
 
-@query("q_stream_signal_counts")
+@query("q_stream_signal_counts", "select time_bucket(interval 7 day, ts, timestamp '1970-01-01') window_start, event_type signal_type, count(*) n, count(*) filter(value>200) raised from events group by all")
 def stream(spark, sf):
     """The windowed counts over the whole log, run as a stream up to the end of what is there."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     log = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").selectExpr(
         "user_id vuln_id", "event_type signal_type", "cast(ts as timestamp) observed_at", "value > 200 value_bool"
     )
-    import uuid
-
-    name = f"signal_counts_{uuid.uuid4().hex}"
-    run = signal_log.windowed_counts(log).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = signal_log.stream_folder(spark)
+    keep = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/counts")
+    run = signal_log.windowed_counts(log).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/counts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -148,9 +148,9 @@ def attack_patterns(bundle: DataFrame) -> DataFrame:
     off = F.lit(False)
     live = (o["type"] == "attack-pattern") & ~F.coalesce(o["revoked"], off) & ~F.coalesce(o["x_mitre_deprecated"], off)
     tactics = F.transform(F.filter(o["kill_chain_phases"], lambda p: p["kill_chain_name"] == "mitre-attack"), lambda p: p["phase_name"])
-    return bundle.select(F.explode("objects").alias("o")).where(live & ids.isNotNull()).select(
-        ids.alias("technique_id"), o["name"].alias("name"), o["description"].alias("description"), tactics.alias("tactics")
-    )
+    rows = bundle.select(F.posexplode("objects").alias("pos", "o")).where(live & ids.isNotNull())
+    last = F.max_by(F.struct(o["name"].alias("name"), o["description"].alias("description"), tactics.alias("tactics")), "pos").alias("r")
+    return rows.groupBy(ids.alias("technique_id")).agg(last).select("technique_id", "r.name", "r.description", "r.tactics")
 
 
 def exploit_rows(csv: DataFrame) -> DataFrame:
@@ -177,11 +177,15 @@ def spdx_packages(sbom: DataFrame) -> DataFrame:
 
 
 def openvex_statements(doc: DataFrame) -> DataFrame:
-    """A row per statement and product (products as strings)."""
-    s = F.col("s")
-    return doc.select(F.explode("statements").alias("s")).select(
-        s["vulnerability"]["name"].alias("cve_id"), F.explode(s["products"]).alias("product"), F.lit("unknown").alias("vendor"), s["status"].alias("status"), s["justification"].alias("justification")
-    )
+    """A row per statement and product: products as strings or as structs with ``@id``, vulnerabilities as strings or with a name."""
+    kind = doc.schema["statements"].dataType.elementType
+    s, plain = F.col("s"), lambda f: kind[f].dataType.simpleString() == "string"
+    product = F.col("product") if kind["products"].dataType.elementType.simpleString() == "string" else F.col("product").getField("@id")
+    rows = doc.select(F.explode("statements").alias("s")).select(
+        (s["vulnerability"] if plain("vulnerability") else s["vulnerability"]["name"]).alias("cve_id"), F.explode(s["products"]).alias("product"),
+        s["status"].alias("status"), s["justification"].alias("justification"),
+    )
+    return rows.select("cve_id", product.alias("product"), F.lit("unknown").alias("vendor"), "status", "justification")
 
 
 #: Product status to statement status.
