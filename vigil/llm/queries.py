@@ -110,7 +110,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
     model = toxicity.fit(toxicity.training_rows(docs, labels))
     return toxicity.score(docs, model).select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "swap_gap"
     )
 
 

@@ -5,7 +5,8 @@ A text is its set of distinct lower-cased words; a word brings its own feature a
 of the labelled rows by class and keeps the most telling ones; sparse logistic regression
 on them is fitted with a penalty on counterfactual score changes: wherever an identity
 term stands in a labelled sentence, swapping it for another term of its group, or for
-a neutral word, must not move the score.  Scores are sums over distinct words, so a
+a neutral word, must not move the score.  Terms of no labelled sentence are held still
+by template sentences.  Scores are sums over distinct words, so a
 task remembers a word's weight and reads every text once.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,15 +31,15 @@ WORD = re.compile(r"[^\W\d_]+")
 GRAM = 5
 #: Feature hashes are 32 bits wide; words that a task remembers.
 MEMORY, BLOCK = 700_000, 4 << 20
-#: Groups of identity terms; a term is swapped within its group, and for a neutral word without features.
+#: Groups of identity terms (a parameter of ``fit``), in the corpus's four languages; a term is swapped within its group, and for a neutral word without features.
 IDENTITY = (
-    ("women", "men", "girls", "boys"),
-    ("black", "white", "asian", "latino"),
-    ("muslim", "christian", "jewish", "hindu"),
-    ("gay", "lesbian", "straight", "transgender"),
-    ("immigrant", "refugee", "native", "foreign"),
-    ("disabled", "deaf", "blind", "elderly"),
-)
+    ("women", "men", "girls", "boys"), ("femmes", "hommes", "filles", "garçons"), ("frauen", "männer", "mädchen", "jungen"), ("mujeres", "hombres", "niñas", "niños"),
+    ("black", "white", "asian", "latino"), ("noirs", "blancs", "asiatiques", "arabes"), ("schwarze", "weiße", "asiaten", "araber"), ("negros", "blancos", "asiáticos", "árabes"),
+    ("muslim", "christian", "jewish", "hindu"), ("musulmans", "chrétiens", "juifs", "hindous"), ("muslime", "christen", "juden", "hindus"), ("musulmanes", "cristianos", "judíos", "hindúes"),
+    ("gay", "lesbian", "straight", "transgender"), ("gays", "lesbiennes", "hétérosexuels", "transgenres"), ("schwule", "lesben", "heterosexuelle", "transgeschlechtliche"), ("homosexuales", "lesbianas", "heterosexuales", "transexuales"),
+    ("immigrant", "refugee", "native", "foreign"), ("immigrés", "réfugiés", "autochtones", "étrangers"), ("einwanderer", "flüchtlinge", "einheimische", "ausländer"), ("inmigrantes", "refugiados", "nativos", "extranjeros"),
+    ("disabled", "deaf", "blind", "elderly"), ("handicapés", "sourds", "aveugles", "aînés"), ("behinderte", "gehörlose", "blinde", "senioren"), ("discapacitados", "sordos", "ciegos", "ancianos"),
+)
 
 
 def words_of(text: str | None) -> set[str]:
@@ -56,6 +58,7 @@ class Model:
     weights: dict[int, float]
     bias: float
     info: dict = field(default_factory=dict)
+    groups: tuple[tuple[str, ...], ...] = IDENTITY
 
     def word(self, word: str) -> float:
         get = self.weights.get
@@ -65,6 +68,24 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + sum(map(self.word, words_of(text)))))))
 
 
+    def swapped(self, words: set[str]) -> list[tuple[float, float]]:
+        """(sum before, sum after) of every counterfactual of a text's distinct words."""
+        out, before = [], None
+        for group in self.groups:
+            for a in words.intersection(group):
+                if before is None:
+                    before = self.bias + math.fsum(map(self.word, words))
+                for b in (*group, None):
+                    if b != a:
+                        out.append((before, before - self.word(a) + (self.word(b) if b and b not in words else 0.0)))
+        return out
+
+    def gap(self, words: set[str]) -> float:
+        """The largest change of the score by a swap of one identity term; 0 for a text without any."""
+        squash = lambda x: 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+        return max((abs(squash(a) - squash(b)) for a, b in self.swapped(words)), default=0.0)
+
+
 def sample_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
     """About ``most`` rows at the most, chosen by a hash of the key; all of them if there are fewer."""
     n = rows.count()
@@ -73,9 +94,9 @@ def sample_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(name(key)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-def count_features(rows: DataFrame) -> DataFrame:
+def count_features(rows: DataFrame, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> DataFrame:
     """label, ids (features), counts (distinct words with the feature), terms (identity terms)."""
-    terms = {t for g in IDENTITY for t in g}
+    terms = {t for g in groups for t in g}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -124,16 +145,22 @@ def fit(
     l2: float = 1e-5,
     fairness: float = 1.0,
     steps: int = 400,
+    groups: tuple[tuple[str, ...], ...] = IDENTITY,
+    template_weight: float = 1.0,
 ) -> Model:
     """Fit on ``rows`` (label 0/1, text), a bounded sample: their chosen features go to the driver.
 
-    ``fairness`` weighs the mean squared score change over counterfactual swaps; a term
-    counts by the sentences that hold it, and once in any case.  Without both classes the
-    model is a constant.
+    Every labelled sentence with an identity term of ``groups`` gives its counterfactuals,
+    one for each other term of the group and one without the term; ``fairness`` weighs the
+    mean squared score change over all of them.  A term that no labelled sentence has
+    counts as ``template_weight`` template sentences that hold it beside words without
+    features, so the penalty covers it too.  Repeated rows count as often as they stand
+    there, texts of any length are read whole, null texts are empty.  Without both classes
+    (an empty table among others) the model is a constant.
     """
-    counted = durable(count_features(rows))
+    counted = durable(count_features(rows, groups))
     chosen = choose_features(counted, most_features, least_docs)
-    terms = [t for g in IDENTITY for t in g]
+    terms = [t for g in groups for t in g]
     for w in terms:
         chosen.append(features_of(w)[0])
     place = {f: i for i, f in enumerate(dict.fromkeys(chosen))}
@@ -149,18 +176,19 @@ def fit(
     data = counted.mapInArrow(pick, "label int, own binary, terms array<string>").toArrow()
     y = data["label"].to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
-        return Model({}, 0.0 if not len(y) else (5.0 if y[0] else -5.0))
+        return Model({}, 0.0 if not len(y) else (5.0 if y[0] else -5.0), groups=groups)
     own = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in data["own"].to_pylist()]
     row = np.repeat(np.arange(len(y)), [len(x) for x in own])
     col, value = np.concatenate(own).T
     scale = np.sqrt(np.bincount(col, value.astype(float) ** 2, len(place)) / len(y))
     scale[scale == 0] = 1.0  # identity terms that no sentence has
     value = value / scale[col]
-    held = {t: 1 for t in terms}
-    for found in data["terms"].to_pylist():
-        for t in found:
-            held[t] += 1
-    swaps = _swaps(held, place, scale)
+    seen = Counter(s for found in data["terms"].to_pylist() for s in counterfactuals(set(found), groups))
+    unseen = set(terms) - {a for a, _, _ in seen}
+    for a in unseen:
+        for s in counterfactuals({a}, groups):
+            seen[s] += template_weight
+    swaps = _swaps(seen, place, scale)
 
     def times(w: np.ndarray) -> np.ndarray:
         return np.bincount(row, value * w[col], len(y))
@@ -183,27 +211,46 @@ def fit(
         after = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         look, look_bias = new + (momentum - 1) / after * (new - w), new_bias + (momentum - 1) / after * (new_bias - bias)
         w, bias, momentum = new, new_bias, after
-    return Model({f: float(w[i] / scale[i]) for f, i in place.items() if w[i]}, float(bias), {"rows": len(y), "positive": int(y.sum()), "curvature": float(curve.max()), "slope": float(np.abs(slope).max())})
-
-
-def _swaps(held: dict[str, int], place: dict[int, int], scale: np.ndarray) -> np.ndarray:
-    """A row for each swap: the change of the scaled features, times the root of the swap's share."""
-    total, out = sum(held.values()), []
-    for group in IDENTITY:
-        for a in group:
-            others = [b for b in (*group, None) if b != a]
-            for b in others:
-                delta = np.zeros(len(place))
-                for word, sign in ((b, 1.0), (a, -1.0)) if b else ((a, -1.0),):
-                    for f in set(features_of(word)):
-                        if f in place:
-                            delta[place[f]] += sign / scale[place[f]]
-                out.append(delta * math.sqrt(held[a] / total / len(others)))
+    info = {
+        "rows": len(y), "positive": int(y.sum()), "curvature": float(curve.max()), "slope": float(np.abs(slope).max()),
+        "sentences_with_terms": sum(map(bool, data["terms"].to_pylist())), "terms_by_template": len(unseen), "mean_swap": float(np.sqrt(((swaps @ w) ** 2).sum())),
+    }
+    return Model({f: float(w[i] / scale[i]) for f, i in place.items() if w[i]}, float(bias), info, groups)
+
+
+def counterfactuals(found: set[str], groups: tuple[tuple[str, ...], ...]) -> Iterator[tuple[str, str | None, bool]]:
+    """(term, its replacement or None, whether the sentence has that already) of a sentence with the identity terms ``found``.
+
+    A sentence's score is a sum over its distinct words, so these tell its whole change.
+    """
+    for group in groups:
+        for a in found.intersection(group):
+            for b in (*group, None):
+                if b != a:
+                    yield a, b, b in found
+
+
+def _swaps(seen: dict[tuple[str, str | None, bool], float], place: dict[int, int], scale: np.ndarray) -> np.ndarray:
+    """A row for each kind of swap: the change of the scaled features, times the root of the swap's share."""
+    total, out = sum(seen.values()), []
+    for (a, b, there), n in sorted(seen.items(), key=repr):
+        delta = np.zeros(len(place))
+        for word, sign in ((b, 1.0), (a, -1.0)) if b and not there else ((a, -1.0),):
+            for f in set(features_of(word)):
+                if f in place:
+                    delta[place[f]] += sign / scale[place[f]]
+        out.append(delta * math.sqrt(n / total))
     return np.array(out)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1), a row for each row of ``docs``; null counts as the empty text."""
+    """doc_id, score (0 to 1) and swap_gap (largest score change by a swap of one identity term), a row for each row of ``docs``.
+
+    Null counts as the empty text, texts of any length are read whole, repeated rows
+    are scored each, an empty table gives no rows; other columns, whatever their names,
+    are not read.
+    """
+    terms = {t for g in model.groups for t in g}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Known(dict):
@@ -215,18 +262,23 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
         for batch in batches:
             for first, texts in text_blocks(batch.column(1), BLOCK):
                 get = known.__getitem__
-                sums = np.array([math.fsum(map(get, words_of(t))) for t in texts])
+                split = [words_of(t) for t in texts]
+                sums = np.array([math.fsum(map(get, words)) for words in split])
                 scores = 1 / (1 + np.exp(-np.clip(sums + model.bias, -500, 500)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(scores)], ["doc_id", "score"])
+                gaps = [0.0 if terms.isdisjoint(words) else model.gap(words) for words in split]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(scores), pa.array(gaps, pa.float64())], ["doc_id", "score", "swap_gap"])
                 if len(known) > MEMORY:
                     known = Known()
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("score", T.DoubleType()), T.StructField("swap_gap", T.DoubleType())])
     return docs.select(name(key), name(text).cast("string")).mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 12_000) -> DataFrame:
-    """label, text of about ``most`` labelled rows at the most (rows with a null label or key take no part)."""
+    """label, text of about ``most`` labelled rows at the most (rows with a null label or key take no part).
+
+    A doc_id that stands in several rows of ``docs`` or ``labels`` gives a row for each pair.
+    """
     known = labels.select(name(key).alias("id"), name(label).cast("int").alias("label")).where("id is not null and label is not null")
     known = durable(sample_rows(known, "id", most))
     return docs.join(F.broadcast(known), name(key) == F.col("id")).select("label", name(text).cast("string").alias("text"))
