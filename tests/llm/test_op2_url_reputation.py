@@ -1,5 +1,9 @@
+import random
 import re
 
+import duckdb
+from pyspark.sql import functions as F
+
 from vigil.llm import queries, url_reputation
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +63,58 @@ def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     outcomes = spark.createDataFrame([], "host string, bad boolean")
     assert url_reputation.filter_urls(pages, outcomes, rules=queries.URL_RULES).count() == 0
+
+
+def tables(spark, path, pages, labels):
+    """pages: (page_id, url), labels: (doc_id, quality, toxic)"""
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+
+
+def test_planted_bad_hosts_are_blocked_and_no_other(spark, tmp_path):
+    """A quarter of all pages is bad, as in the corpus; five hosts of sixty are four fifths bad."""
+    rng, pages, labels = random.Random(4), [], []
+    for h in range(60):
+        for _ in range(30):
+            n = len(pages)
+            pages.append((n, f"http://h{h}.example.{('com', 'org', 'net')[h % 3]}/p/{n}"))
+            labels.append((n, int(rng.random() > (0.8 if h < 5 else 0.24)), 0))
+    tables(spark, tmp_path, pages, labels)
+    out = queries.op2_url_filter(spark, str(tmp_path)).where("rule is null").collect()
+    blocked = {r.host for r in out if r.verdict == "block"}
+    assert blocked == {r.host for r in out if int(r.host[1:].split(".")[0]) < 5} and len(blocked) >= 3
+    again = spark.createDataFrame([(u.split("/")[2], q == 0) for (_, u), (_, q, _) in zip(pages, labels, strict=True)], "host string, bad boolean")
+    assert {r.host for r in url_reputation.host_reputation(again).where("bad_low > 0.3").collect()} == {f"h{h}.example.{('com', 'org', 'net')[h % 3]}" for h in range(5)}
+
+
+def test_hosts_that_differ_by_chance_share_one_rate(spark):
+    rng = random.Random(9)
+    rows = [(f"h{h}.example.com", rng.random() < 0.24) for h in range(60) for _ in range(30)]
+    rep = url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad boolean")).collect()
+    assert max(r.bad_rate for r in rep) - min(r.bad_rate for r in rep) < 0.1 and all(r.bad_low < 0.3 for r in rep)
+
+
+def test_suffixes_addresses_and_ports(spark):
+    hosts = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.s3.amazonaws.com": ("s3.amazonaws.com", "y.s3.amazonaws.com"),
+        "me@www.site.com:8080": ("com", "site.com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "localhost": ("localhost", "localhost"), "p.github.io": ("github.io", "p.github.io"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.s, r.d) for r in df.select("host", *[c.alias(n) for c, n in zip(url_reputation.suffix_and_domain(F.col("host")), "sd", strict=True)]).collect()}
+    assert got == hosts
+
+
+def test_twin_on_odd_hosts(spark, tmp_path):
+    rng = random.Random(2)
+    hosts = ["a.b.co.uk", "c.b.co.uk", "d.e.co.uk", "10.0.0.1:80", "10.0.0.2", "u@x.site.com", "y.site.com:81", "q.s3.amazonaws.com", "localhost"]
+    pages = [(i, f"http://{hosts[i % 9]}/n/{i % 150}.html") for i in range(300)] + [(900, None), (901, "x")]
+    labels = [(i, int(rng.random() > (0.7 if i % 9 in (0, 3) else 0.1)), int(rng.random() < 0.1)) for i in range(150)]
+    tables(spark, tmp_path, pages, labels + labels[:40])
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    out = con.execute(queries.ORACLES["op2_url_filter"])
+    names = [d[0] for d in out.description]
+    expected = sorted(out.fetchall(), key=repr)
+    rows = queries.op2_url_filter(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, rows), key=repr) == expected and any(r.verdict == "block" for r in rows if r.rule is None)

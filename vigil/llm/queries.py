@@ -24,9 +24,9 @@ URL_RULES = (
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host and outcome of every page: its url ends in the number of the document it shows.
 
-    bad: the document's label is low quality or toxic; null for pages without a label.
+    bad: the document has a label of low quality or toxicity; null for pages without a label.
     """
-    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     number = F.regexp_extract(url_reputation.url_parts(F.col("url"))[1], r"/([0-9]{1,18})(?:\.html)?/?$", 1)
     pages = table(spark, sf_dir, "pages").select(
         url_reputation.url_parts(F.col("url"))[0].alias("host"), number.try_cast("bigint").alias("doc_id")
@@ -148,13 +148,18 @@ _RULE = " ".join(
     for what, (own, _, tail) in sorted(((v, r.partition("/")) for v, r in URL_RULES), key=lambda x: -len("".join(x[1])))
 )
 
+_SUFFIX3, _SUFFIX2 = ("[" + ",".join(f"'{x}'" for x in url_reputation.SUFFIXES if x.count(".") == n) + "]" for n in (2, 1))
+_LAST = lambda n: f"array_to_string(list_slice(ls,-{n},-1),'.')"
+
 ORACLES: dict[str, str] = {
     "op2_url_filter": f"""
 with u as (select page_id, url, case when contains(url,'://') then substr(url, instr(url,'://')+3) end rest from pages),
 h as (select page_id, coalesce(translate(regexp_extract(rest,'^[^/?#]*'),'{_A}','{_Z}'),'') host,
  coalesce(regexp_extract(substr(rest, length(regexp_extract(rest,'^[^/?#]*'))+1), '^[^?#]*'),'') path from u),
-o as (select host, case when l.doc_id is not null then ((quality=0) or (toxic=1))::int end bad from h left join labels l on l.doc_id = try_cast(nullif(regexp_extract(path,'/([0-9]{{1,18}})(?:\\.html)?/?$',1),'') as bigint)),
-hosts as (select host, string_split(host,'.')[-1] sfx, array_to_string(list_slice(string_split(host,'.'),-2,-1),'.') dom, count(bad)::double n, coalesce(sum(bad),0)::double k from o where host<>'' group by 1),
+o as (select host, bad::int bad from h left join (select doc_id, bool_or(quality=0 or toxic=1) bad from labels group by 1) l on l.doc_id = try_cast(nullif(regexp_extract(path,'/([0-9]{{1,18}})(?:\\.html)?/?$',1),'') as bigint)),
+hs as (select *, regexp_replace(host,'^.*@|:[0-9]*$','','g') bare, string_split(regexp_replace(host,'^.*@|:[0-9]*$','','g'),'.') ls from o),
+hosts as (select host, case when regexp_full_match(bare,'[0-9]+(\\.[0-9]+){{3}}') then bare when list_contains({_SUFFIX3},{_LAST(3)}) then {_LAST(3)} when list_contains({_SUFFIX2},{_LAST(2)}) then {_LAST(2)} else {_LAST(1)} end sfx,
+ case when regexp_full_match(bare,'[0-9]+(\\.[0-9]+){{3}}') then bare when list_contains({_SUFFIX3},{_LAST(3)}) then {_LAST(4)} when list_contains({_SUFFIX2},{_LAST(2)}) then {_LAST(3)} else {_LAST(2)} end dom, count(bad)::double n, coalesce(sum(bad),0)::double k from hs where host<>'' group by all),
 doms as (select sfx, dom, sum(n) n, sum(k) k from hosts group by all), sfxs as (select sfx, sum(n) n, sum(k) k from doms group by all),
 c as (select strength s0, (coalesce(bk,0)+20e0*0.05e0)/(coalesce(bn,0)+20e0) m0 from {_strength(_level("n", "k", "1 one", "sfxs"), "one")}),
 l1 as (select sfx, (k+s0*m0)/(n+s0) m1 from sfxs, c),

@@ -19,8 +19,15 @@ from pyspark.sql import functions as F
 
 from vigil.llm._common import durable, name, small_side
 
-#: Suffixes of more than one label under which domains are registered.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.nz")
+#: Suffixes of two or three labels under which domains are registered: the default of a parameter that
+#: takes any such list.  Hosts under a suffix that is not listed share the domain of their last two labels.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "sch.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au", "ac.nz", "co.nz", "net.nz", "org.nz",
+    "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "co.kr", "or.kr", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.hk", "com.tw", "org.tw", "com.sg", "com.my",
+    "ac.in", "co.in", "gov.in", "net.in", "org.in", "co.id", "co.th", "com.ph", "com.vn", "com.br", "gov.br", "net.br", "org.br", "com.ar", "com.co", "com.mx", "com.pe",
+    "com.ua", "com.pl", "net.pl", "org.pl", "com.tr", "org.tr", "co.il", "org.il", "ac.za", "co.za", "org.za", "com.eg", "com.ng", "com.sa", "co.ke",
+    "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "herokuapp.com", "netlify.app", "vercel.app", "web.app", "pages.dev", "s3.amazonaws.com",
+)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -48,12 +55,18 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return rule, verdict
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """Public suffix and registered domain of a host (the host itself if it has no more labels)."""
-    two = F.substring_index(host, ".", -2)
-    long = two.isin(*LONG_SUFFIXES)
-    suffix = F.when(long, two).otherwise(F.substring_index(host, ".", -1))
-    return suffix, F.when(long, F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_and_domain(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Public suffix (the longest listed one, else the last label) and registered domain, one label more.
+
+    User names and ports are left out; a host without a further label is its own domain,
+    and an IPv4 address is its own suffix and domain.
+    """
+    bare = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+    last = lambda n: F.substring_index(bare, ".", -n)
+    listed = lambda n: last(n).isin(*[s for s in suffixes if s.count(".") == n - 1])
+    address = bare.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+    suffix = F.when(address, bare).when(listed(3), last(3)).when(listed(2), last(2)).otherwise(last(1))
+    return suffix, F.when(address, bare).when(listed(3), last(4)).when(listed(2), last(3)).otherwise(last(2))
 
 
 def _strength(groups: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
@@ -83,16 +96,19 @@ def host_reputation(
     base_strength: float = 20.0,
     strength_range: tuple[float, float] = (2.0, 2000.0),
     z: float = 1.645,
+    suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """One row per host: host, labelled, bad, bad_rate (posterior mean), bad_low, bad_high.
 
     ``outcomes`` has a row per page, with a null outcome where it has no label; a host
     without labels gets the prior that its registered domain, suffix and corpus give.
-    A null or empty host takes no part.  ``base_rate`` and ``base_strength`` are the
-    prior of the whole corpus.  An empty table gives no rows.
+    A null or empty host takes no part; every row counts, repeated ones too.  ``base_rate``
+    and ``base_strength`` are the prior of the whole corpus.  Where hosts of a domain differ
+    no more than chance lets them, their strength is the largest of ``strength_range`` and
+    they share one rate.  An empty table gives no rows.
     """
     low, high = strength_range
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
     hosts = durable(
         outcomes.select(name(host).alias("host"), name(bad).cast("int").alias("bad"))
         .where(F.col("host") != "")
@@ -149,7 +165,9 @@ def filter_urls(
     ``outcomes`` has columns host and bad (see host_reputation) and should hold every
     host of ``pages``.  verdict is the longest fitting rule's, else ``block`` where the
     lower bound of the host's bad rate is above ``max_bad``, else ``allow`` (also for
-    null or odd urls).  Input columns named like the outputs are replaced.
+    null or odd urls).  ``max_bad`` states a loss: at 0.3 letting a bad page through costs
+    7 where blocking a good one costs 3.  Each row is judged by itself, repeated ones too;
+    input columns named like the outputs are replaced; an empty table gives no rows.
     """
     added = ("host", "path", "rule", "verdict", "labelled", "bad_low")
     kept = [c for c in pages.columns if c not in added]
