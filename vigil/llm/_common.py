@@ -42,6 +42,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(rows: int, rows_per_task: int = 20_000) -> int:
+    return max(1, -(-rows // rows_per_task))
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """Checkpointed, in as few partitions as its counted rows need: a small table does not pass a task for every shuffle partition on."""
+    df = durable(df)
+    return df.coalesce(tasks_for(df.count()))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Keep filters above from being pushed into, and copied over, the column expressions below."""
     return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))

@@ -8,9 +8,10 @@ whose sets of shingles reach the similarity limit, exactly.  Who is compared:
    at similarity 0.8 differs in about 10 of 64 bits, which no table of segments finds.
 2. So MinHash bands propose the rest: 24 bands of 5 hashes miss a pair at 0.8 with
    probability 0.00007.  A band key does not compare all its nodes with each other: in a
-   round they are compared with one leader, and nodes that a component has already
-   joined are done.  After a few rounds only nodes of a key that are still in different
-   components are compared with each other, so nothing that shares a key is left out.
+   round every node is compared with one leader of its keys, and nodes that a component
+   has already joined are done.  After a few rounds only nodes of a key that are still in
+   different components are compared with each other, so nothing that shares a key is
+   left out; n nodes of a key that reach no leader cost n squared comparisons then.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm._common import SPACE, ascii_lower, durable, name, small_side
+from vigil.llm._common import SPACE, ascii_lower, compact, durable, name, small_side
 from vigil.llm.simhash_mih import connected, fingerprint_of, links
 
 SEED = 42
@@ -64,7 +65,7 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int, pairs_per_task: int = 1000, broadcast_rows: int = 200_000) -> DataFrame:
     """The pairs (a, b) whose shingle sets (``sets``: node, own) reach the limit; a node in many pairs is dealt to many tasks."""
-    slots = durable(pairs.groupBy("a").agg(F.ceil(F.count("*") / pairs_per_task).cast("int").alias("slots")))
+    slots = compact(pairs.groupBy("a").agg(F.ceil(F.count("*") / pairs_per_task).cast("int").alias("slots")))
     dealt = pairs.join(small_side(slots, broadcast_rows), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"))
     x = sets.join(slots, F.col("node") == F.col("a")).select("a", F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
     y = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
@@ -75,7 +76,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int, pairs_per_task: int
 
 def components(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, max_distance: int = 4, bands: int = 24, rows: int = 5,
-    rounds: int = 1, broadcast_rows: int = 200_000,
+    rounds: int = 2, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over links, a row for each row of ``docs``.
 
@@ -109,13 +110,13 @@ def components(
     fields = {"node": T.StringType(), "n": T.LongType(), "fp": T.LongType(), "keys": T.ArrayType(T.LongType())}
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), *(T.StructField(c, t) for c, t in fields.items())])
     prints = durable(source.select("doc_id", "node", "body").mapInArrow(signed, schema))
-    nodes = durable(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    nodes = compact(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     # Nodes by band key, for keys that more than one node has.
     met = nodes.select(F.explode("keys").alias("key"), "node", "n")
     shared = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    met = durable(met.join(shared, "key"))
+    met = compact(met.join(shared, "key"))
     # Fingerprints and their links, as pairs of nodes: each fingerprint's smallest node stands for it.
-    first = durable(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("c")))
+    first = compact(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("c")))
     same = nodes.join(first.where("c > 1"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
     near = links(first.select("fp"), max_distance=max_distance).select(F.col("a").alias("f"), F.col("b").alias("g"))
     near = near.join(first.select(F.col("fp").alias("f"), F.col("a")), "f").join(first.select(F.col("fp").alias("g"), F.col("a").alias("b")), "g")
@@ -124,18 +125,21 @@ def components(
         return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
     def with_leader(rest: DataFrame, turn: int) -> DataFrame:
-        """Pairs of a leader of each key (one that many keys share) with the nodes of other components."""
+        """For every node one pair: of its keys' leaders in other components the one that most keys share."""
         lead = F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", F.lit(turn)))
         apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), lead.alias("lead")).where("low <> high")
-        rest = rest.join(small_side(durable(apart.select(F.col("key").alias("k"), "lead")), broadcast_rows), F.col("key") == F.col("k"))
-        return rest.where((F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        rest = rest.join(small_side(compact(apart.select(F.col("key").alias("k"), "lead")), broadcast_rows), F.col("key") == F.col("k"))
+        rest = rest.where((F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n")))
+        first = F.min_by(F.col("lead.node"), F.xxhash64(F.col("lead.node"), F.lit(turn)))
+        return rest.groupBy(F.col("node").alias("b")).agg(first.alias("a")).select("a", "b")
 
-    tested = durable(near.select("a", "b").unionByName(same).unionByName(with_leader(met.withColumn("root", F.col("node")), 0)).distinct())
+    near = near.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a"))  # one pair a node
+    tested = compact(near.select("a", "b").unionByName(same).unionByName(with_leader(met.withColumn("root", F.col("node")), 0)).distinct())
     wanted = met.select("node").unionByName(tested.select(F.col("a").alias("node"))).unionByName(tested.select(F.col("b").alias("node"))).distinct()
-    wanted = durable(wanted.withColumnRenamed("node", "want"))
+    wanted = compact(wanted.withColumnRenamed("node", "want"))
     held = source.select("node", "body").join(small_side(wanted, broadcast_rows), F.col("node") == F.col("want"), "left_semi")
-    sets = durable(held.dropDuplicates(["node"]).mapInArrow(sets_of, "node string, own array<bigint>"))
-    edges = durable(similar(tested, sets, percent, broadcast_rows=broadcast_rows))
+    sets = compact(held.dropDuplicates(["node"]).mapInArrow(sets_of, "node string, own array<bigint>"))
+    edges = compact(similar(tested, sets, percent, broadcast_rows=broadcast_rows))
     roots = connected(edges)
     for turn in range(1, rounds + 2):
         rest = met.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -143,16 +147,16 @@ def components(
             pairs = with_leader(rest, turn)
         else:  # what no leader has joined
             open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("key").alias("k"))
-            rest = durable(rest.join(open_keys, F.col("key") == F.col("k"), "left_semi"))
+            rest = compact(rest.join(open_keys, F.col("key") == F.col("k"), "left_semi"))
             x, y = rest.alias("x"), rest.alias("y")
             both = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
             pairs = x.join(y, both).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = durable(pairs)
+        pairs = compact(pairs)
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
-        new = durable(similar(pairs, sets, percent, broadcast_rows=broadcast_rows))
+        new = compact(similar(pairs, sets, percent, broadcast_rows=broadcast_rows))
         if not new.isEmpty():
             edges = edges.unionByName(new)
             roots = connected(edges)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm._common import durable, name
+from vigil.llm._common import durable, name, tasks_for
 
 SEED = 42
 BITS = 64
@@ -157,10 +157,10 @@ def connected(edges: DataFrame) -> DataFrame:
     def lowest(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
-    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
-        """Checkpointed, with what tells one round's links from another's (counted on the way)."""
+    def kept(e: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
+        """Checkpointed, with what tells one round's links from another's (counted on the way); few links are few tasks."""
         seen = Observation()
-        e = durable(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        e = durable((e.coalesce(tasks_for(rows)) if rows is not None else e).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
         return e, (seen.get["n"], seen.get["h"])
 
     u, v = F.greatest("a", "b"), F.least("a", "b")
@@ -170,7 +170,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = large.join(lowest(large), "u")
         e, now = kept(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(),
+            seen[0],
         )
         if now == seen:
             break
