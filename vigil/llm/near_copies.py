@@ -7,11 +7,14 @@ whose sets of shingles reach the similarity limit, exactly.  Who is compared:
    fingerprints within a few bits.  They settle dense groups of light edits, but a pair
    at similarity 0.8 differs in about 10 of 64 bits, which no table of segments finds.
 2. So MinHash bands propose the rest: 24 bands of 5 hashes miss a pair at 0.8 with
-   probability 0.00007.  A band key does not compare all its nodes with each other: in a
-   round every node is compared with one leader of its keys, and nodes that a component
-   has already joined are done.  After a few rounds only nodes of a key that are still in
-   different components are compared with each other, so nothing that shares a key is
-   left out; n nodes of a key that reach no leader cost n squared comparisons then.
+   probability 0.00007.  A band key does not compare all its nodes with each other: every
+   node is compared with one leader of its keys.
+3. Nodes that still share a key with another component meet under their rarest shingles
+   (prefix filter with places), which is complete: no pair at the limit among them is
+   left out, and variants that are too far apart hardly make pairs.  In a few rounds a
+   node is compared with the leaders of its shingles; then nodes still in different
+   components are all compared, so n nodes that share a rare shingle and yet no leader
+   cost n squared comparisons.
 """
 
 from __future__ import annotations
@@ -74,9 +77,32 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int, pairs_per_task: int
     return dealt.join(x, ["a", "slot"]).join(y, "b").where(alike).select("a", "b")
 
 
+def enough(i: str, j: str, m: str, n: str, percent: int) -> Column:
+    """Whether the shared shingles that may be left, counted in both sets, still reach the limit."""
+    return (100 + percent) * F.least(i, j) >= percent * (F.col(m) + F.col(n))
+
+
+def prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, n, word, left: the shingles under which any pair of ``nodes`` that can reach the limit meets.
+
+    A set's shingles are ordered by how many sets of ``nodes`` hold them, rarest first;
+    ``left`` counts those from this one on.  Two sets of m and n that reach the limit
+    share at least p / (100 + p) of m + n, so at the first shingle that they share at
+    least that many are left in both.  Variants of one text that are too far apart have
+    rare shingles up to there, hence make no pair.
+    """
+    held = compact(nodes.join(sets, "node").select("node", F.size("own").cast("long").alias("n"), F.explode("own").alias("word")))
+    known = held.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word", F.struct("c", "word").alias("at"))
+    ordered = held.join(known, "word").groupBy("node", "n").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    alone = F.col("n") - F.size("at")  # shingles of this set only come first, and make no pair
+    places = (F.floor((100 - percent) * F.col("n") / 100) + 1 - alone).cast("int")
+    reach = ordered.where(places > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("at", F.lit(1), places)).alias("i", "at"))
+    return compact(reach.select("node", "n", F.col("at.word").alias("word"), (F.col("n") - F.col("alone") - F.col("i")).alias("left")))
+
+
 def components(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, max_distance: int = 4, bands: int = 24, rows: int = 5,
-    rounds: int = 2, broadcast_rows: int = 200_000,
+    rounds: int = 2, leaders: int = 8, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over links, a row for each row of ``docs``.
 
@@ -141,16 +167,31 @@ def components(
     sets = compact(held.dropDuplicates(["node"]).mapInArrow(sets_of, "node string, own array<bigint>"))
     edges = compact(similar(tested, sets, percent, broadcast_rows=broadcast_rows))
     roots = connected(edges)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node")).drop("at")
+
+    def still_open(rows: DataFrame, by: str, *more: Column) -> DataFrame:
+        found = rows.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high"), *more).where("low <> high")
+        return found.withColumnRenamed(by, "k").drop("low", "high")
+
+    rest = rooted(met)
+    rest = rest.join(still_open(rest, "key"), F.col("key") == F.col("k"), "left_semi").select("node").distinct()
+    reach = prefixes(compact(rest), sets, percent)
     for turn in range(1, rounds + 2):
-        rest = met.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        now = compact(rooted(reach))
+        order = F.when(enough("left", "left", "n", "n", percent), F.xxhash64("node", "word", F.lit(turn)))  # may lead sets of its size
+        heads = compact(still_open(now, "word", F.min_by(F.struct("node", "root", "n", "left"), order).alias("lead")))
+        now = now.join(small_side(heads, broadcast_rows), F.col("word") == F.col("k"))
         if turn <= rounds:
-            pairs = with_leader(rest, turn)
+            now = now.where((F.col("root") != F.col("lead.root")) & enough("lead.left", "left", "lead.n", "n", percent))
+            some = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("lead.node", F.lit(turn)), F.col("lead.node").alias("a")))), 1, leaders)
+            pairs = now.groupBy(F.col("node").alias("b")).agg(some.alias("some")).select(F.explode("some.a").alias("a"), "b")
         else:  # what no leader has joined
-            open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("key").alias("k"))
-            rest = compact(rest.join(open_keys, F.col("key") == F.col("k"), "left_semi"))
-            x, y = rest.alias("x"), rest.alias("y")
-            both = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
-            pairs = x.join(y, both).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            now = compact(now.select("node", "root", "n", "word", "left"))
+            x, y = now.alias("x"), now.alias("y")
+            both = (F.col("x.word") == F.col("y.word")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+            pairs = x.join(y, both & enough("x.left", "y.left", "x.n", "y.n", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         pairs = compact(pairs)
         if pairs.isEmpty():
