@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,3 +44,24 @@ def test_hot_source_odd_rows_and_clashes(spark):
     assert sorted(repr(r[0]) for r in odd.collect()) == sorted(repr(d[0]) for d in DOCS)
     check(odd.collect(), 4, [d[3] for d in DOCS])
     assert shard_mix.proportional_shards(docs(spark, []), shards=4).count() == 0
+
+
+def plain_shards(rows, shards, seed="mix-1"):
+    """(doc_id, shard, slot) by one sort within each source and one over all fractional ranks."""
+    groups = defaultdict(list)
+    for doc, source in rows:
+        groups[source is None, source or ""].append((hashlib.md5(f"{seed}:{doc}".encode()).hexdigest(), doc))
+    merged = []
+    for (none, source), own in groups.items():
+        merged += [((2 * rank - 1) / (2 * len(own)), none, source, rank, doc) for rank, (_, doc) in enumerate(sorted(own), 1)]
+    out, slots = [], Counter()
+    for place, (*_, doc) in enumerate(sorted(merged)):
+        shard = place * shards // len(merged)
+        out.append((doc, shard, slots[shard]))
+        slots[shard] += 1
+    return sorted(out)
+
+
+def test_query_matches_plain_fractional_ranks(spark):
+    rows = [(r.doc_id, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()]
+    assert sorted((r.doc_id, r.shard, r.slot) for r in queries.op7_sharding(spark, SF).collect()) == plain_shards(rows, 40)
