@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vigil.llm import ann_srs, chunk_bpe, line_dedup, line_quality, packing, pii_boost, shard_mix, simhash_mih, toxicity, url_reputation
+from vigil.llm import (
+    ann_srs, chunk_bpe, line_dedup, line_quality, packing, pii_boost, prefix_trie, shard_mix, simhash_mih, toxicity, url_reputation,
+)
 from vigil.llm._common import table
 
 SHARDS = 40
@@ -114,6 +116,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    members = turns.select("conv_id").distinct()
+    return prefix_trie.build(prefix_trie.rebuilt(turns), members).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -125,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
