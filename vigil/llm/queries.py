@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from vigil.llm import (
-    ann_srs, chunk_bpe, line_dedup, line_quality, packing, pii_boost, prefix_trie, shard_mix, simhash_mih, toxicity, url_reputation,
+    ann_srs, chunk_bpe, collocations, jaccard_trie, line_dedup, line_quality, packing, pii_boost, prefix_trie, shard_mix, simhash_mih, toxicity, url_reputation,
 )
 from vigil.llm._common import table
 
@@ -124,6 +124,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -136,6 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -201,4 +211,16 @@ with l as (select *, translate(trim(line,{_BLANKS}),'{_A}','{_Z}') x from ({_LIN
 c as (select k, count(distinct doc_id) n, max(doc_id) last from k where k is not null group by 1),
 f as (select doc_id, i, line, coalesce(n>=5 and doc_id<>last, false) gone from k left join c using(k))
 select doc_id, count(*) n_lines, count(*) filter(gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter(not gone),'')) kept_sha256 from f group by 1""",
+    "op12_collocations": f"""
+with p as (select coalesce(lang,'und') lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text,''),'{_A}','{_Z}'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') ws from documents),
+g as (select lang, m, unnest(list_transform(range(1, len(ws)-m+2), lambda i: array_to_string(list_slice(ws, i, i+m-1), ' '))) phrase from p, range(1,6) s(m) where len(ws)>=m),
+n as (select lang, sum(len(ws))::bigint n from p group by 1),
+f as (select lang, m, phrase, string_split(phrase,' ') ws, count(*) f from g group by lang, m, phrase having count(*)>=100),
+e as (select lang, unnest([array_to_string(list_slice(ws,1,m-1),' '), array_to_string(list_slice(ws,2,m),' ')]) phrase, f from f where m>2),
+c as (select lang, m, phrase, ws, f a from f where m>1 and not exists (select 1 from e where e.lang=f.lang and e.phrase=f.phrase and 100*e.f>=100*f.f)),
+k as (select *, unnest(range(1,m)) k from c),
+s as (select k.lang, k.phrase, k.k, a, x.f l, y.f r, n, ((1000::hugeint*a*n) // (x.f::hugeint*y.f))::bigint score from k join n using(lang)
+ join f x on x.lang=k.lang and x.phrase=array_to_string(list_slice(k.ws,1,k.k),' ') join f y on y.lang=k.lang and y.phrase=array_to_string(list_slice(k.ws,k.k+1,k.m),' ')),
+b as (select * from s qualify row_number() over(partition by lang, phrase order by score, k)=1)
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over(partition by lang order by score desc, a desc, phrase) rank from b) where rank<=2000""",
 }
