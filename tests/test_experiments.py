@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from vigil.operators import experiments, metrics, models, sinks, signals
+from vigil.operators import assets, experiments, metrics, models, sinks, signals
 from vigil.plans.queries import REGISTRY
 from vigil.sources import feeds
 
@@ -42,15 +43,41 @@ def test_labels_fan_out_only_without_a_policy(spark):
 
 
 def test_products_by_name_and_cpe(spark):
-    schema = "vuln_id long, products array<struct<vendor:string,product:string,cpe:string>>"
-    v = spark.createDataFrame([(1, [("Apache", "HTTP_Server", None)]), (2, [("", "", "cpe:2.3:a:acme:web_app:1")]), (3, [("a", None, "cpe:x")]), (4, None)], schema)
-    keys = experiments.product_keys(v, F.col("products"))
-    assert sorted(tuple(r) for r in keys.collect()) == [(1, "apache", "http server"), (2, "acme", "web app")]
-    sbom = spark.createDataFrame([(7, "apache", "http server", None, None), (8, "other", "x", "cpe:2.3:a:acme:web_app:2", 0.4)], "asset_id long, vendor string, product string, cpe string, confidence double")
-    hits = experiments.product_matches(keys, experiments.software_keys(sbom)).collect()
-    assert sorted(tuple(r) for r in hits) == [(7, 1, 0.8), (8, 2, 0.4)]
-    none = experiments.items_to_score(v, keys, experiments.software_keys(sbom.where("asset_id = 9")))
-    assert none.count() == 4
+    schema = "vuln_id long, products array<struct<vendor:string,product:string>>"
+    v = spark.createDataFrame([(1, [("Apache", "HTTP_Server"), ("", "x")]), (3, [("a", None)]), (4, None)], schema)
+    named = assets.product_keys(v, F.col("products"))
+    assert [tuple(r) for r in named.collect()] == [(1, "apache", "http_server")]
+    texts = spark.createDataFrame([(2, ["cpe:2.3:a:apache:http_server:2.4.49:*", "cpe:x", "no name"]), (5, [])], "vuln_id long, products array<string>")
+    coded = assets.product_keys(texts, F.col("products"))
+    assert [tuple(r) for r in coded.collect()] == [(2, "apache", "http_server")]
+    rows = [(7, "Apache", "http_server", None, None), (8, "other", "x", "cpe:2.3:a:apache:http_server:2", 0.4), (9, "apache", "http_server", "cpe:2.3:a:apache:http_server:2", 0.3), (6, "apache", "http server", None, 0.9)]
+    sbom = spark.createDataFrame(rows, "asset_id long, vendor string, product string, cpe string, confidence double")
+    software = assets.software_keys(sbom)
+    assert software.where("asset_id = 9").count() == 1
+    hits = experiments.product_matches(named.unionByName(coded), software).collect()
+    assert sorted(tuple(r) for r in hits) == [(a, i, c) for a, c in ((7, 0.8), (8, 0.4), (9, 0.3)) for i in (1, 2)]
+    pairs = spark.createDataFrame([(a, i) for a in (6, 7, 8, 9) for i in (1, 2)], "asset_id long, vuln_id long")
+    assert sorted(tuple(r) for r in assets.software_matches(pairs, v, sbom).collect()) == [(7, 1, 1, None), (8, 1, 1, 0.4), (9, 1, 1, 0.3)]
+    assert {r.asset_id for r in assets.software_matches(pairs, texts, sbom).collect()} == {7, 8, 9}
+    assert [r.vuln_id for r in experiments.items_to_score(v, named, software).collect()] == [1]
+    only_coded = assets.software_keys(sbom.where("asset_id = 8"))
+    assert experiments.items_to_score(v, named, only_coded).count() == 3  # a CPE is no match here: all are scored
+    assert experiments.items_to_score(v.withColumn("cve_id", F.lit("C")), named, software, []).count() == 1
+
+
+def test_entity_keys_and_audit_of_pairs(spark):
+    assert experiments.entity_key(["a", "cve_id"]) == ["cve_id"] and experiments.entity_key(["vuln_id", "asset_id", "cve_id"]) == ["asset_id", "vuln_id"]
+    with pytest.raises(KeyError):
+        experiments.entity_key(["a"])
+    rows = [(i % 4, i, f"2024-0{1 + i % 3}-01 00:00:00", float(i), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "asset_id long, vuln_id long, published_at string, has_waf double, y int").withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+    features = df.drop("y").withColumn("copy", F.col("vuln_id") % 2 + 0.0)
+    out = {r.check: r for r in experiments.audit_experiment(features, df.select("asset_id", "vuln_id", "y"), df.where("vuln_id < 20"), df.where("vuln_id > 16"), "2024-02-15", "control_gap").collect()}
+    assert (out["temporal"].detail, out["temporal"].violators) == ("13 of 40", "0_8,0_20,0_32,1_5,1_17")
+    assert out["label"].detail == "has_waf" and (out["entity"].detail, out["entity"].violators) == ("3 of 23", "1_17,2_18,3_19")
+    assert out["correlation"].detail == "copy" and not out["overall"].passed
+    clean = experiments.audit_experiment(features.drop("has_waf"), df.select("asset_id", "vuln_id", "y"), df.where("vuln_id < 9"), df.where("vuln_id > 16"), "2025-01-01", "control_gap")
+    assert {r.check: r.passed for r in clean.collect()} == {"temporal": True, "label": True, "entity": True, "correlation": False, "overall": True}
 
 
 def test_feed_parsers(spark, tmp_path):
@@ -85,8 +112,6 @@ def test_components_sinks_and_tables(spark, tmp_path):
     parts = [(f"v{i}", f"p{i}", "1") for i in range(20)]
     one, two = (sorted(map(tuple, experiments.synthetic_components(spark, assets, parts, 6).collect())) for _ in range(2))
     assert one == two and len(one) == 30 and len(set(one)) == 30
-    sinks.create_tables(spark, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/signal").count() == 0
     sinks.write_csv(assets, f"{tmp_path}/csv")
     sinks.write_json(assets, f"{tmp_path}/json")
     assert spark.read.csv(f"{tmp_path}/csv", header=True).count() == spark.read.json(f"{tmp_path}/json").count() == 5

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import core
+from vigil.operators.metrics import percentiles
 from vigil.operators.signals import asof_filter, signal_pivot
 
 PAIR = ["asset_id", "vuln_id"]
@@ -19,12 +20,43 @@ FULL, PARTIAL = 0.9, 0.3
 TINY = 1e-9
 
 
+def cpe_key(cpe: Column) -> Column:
+    """struct(v, p): vendor and product in lower case as a CPE names them; null with fewer than five parts."""
+    parts = F.split(cpe, ":")
+    return F.when(F.size(parts) >= 5, F.struct(F.lower(F.get(parts, F.lit(3))).alias("v"), F.lower(F.get(parts, F.lit(4))).alias("p")))
+
+
+def product_keys(vulns: DataFrame, products: Column) -> DataFrame:
+    """vuln_id, v, p: distinct products of an item in lower case, from structs of vendor and product or from CPE texts."""
+    x = vulns.select("vuln_id", F.explode(products).alias("x"))
+    if x.schema["x"].dataType.simpleString() == "string":
+        key = cpe_key(F.col("x"))
+    else:
+        key = F.struct(F.lower(F.trim("x.vendor")).alias("v"), F.lower(F.trim("x.product")).alias("p"))
+    return x.select("vuln_id", key.alias("k")).select("vuln_id", "k.v", "k.p").where("v <> '' and p <> ''").distinct()
+
+
+def software_keys(sbom: DataFrame) -> DataFrame:
+    """asset_id, v, p, by, confidence: each component by its name and, where it has a CPE of another name, by that."""
+    named = F.struct(F.lower(F.trim("vendor")).alias("v"), F.lower(F.trim("product")).alias("p"))
+    if "cpe" not in sbom.columns:
+        return sbom.select("asset_id", named.alias("k"), F.lit("name").alias("by"), "confidence").select("asset_id", "k.v", "k.p", "by", "confidence")
+    coded = cpe_key(F.col("cpe"))
+    keys = F.array_compact(F.array(F.struct(named.alias("k"), F.lit("name").alias("by")), F.when(~coded.eqNullSafe(named) & coded.isNotNull(), F.struct(coded.alias("k"), F.lit("cpe").alias("by")))))
+    return sbom.select("asset_id", "confidence", F.explode(keys).alias("x")).select("asset_id", "x.k.v", "x.k.p", "x.by", "confidence")
+
+
 def software_matches(pairs: DataFrame, vulns: DataFrame, sbom: DataFrame, asof: str | None = None) -> DataFrame:
-    """Pairs whose asset runs the item's product: n rows, max confidence (null if none has one)."""
+    """Pairs whose asset runs the item's product: n rows, max confidence (null if none has one).
+
+    Items name products in ``products`` (structs or CPE texts, see ``product_keys``) or by
+    vendor and product; software matches by its name and, where it has a ``cpe``, by the name in it.
+    """
     sbom = asof_filter(sbom, asof, "midnight") if asof else sbom
     key = lambda c: F.lower(F.trim(F.col(c)))
-    sums = sbom.groupBy("asset_id", key("vendor").alias("v"), key("product").alias("p")).agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
-    wanted = pairs.join(vulns.select("vuln_id", key("vendor").alias("v"), key("product").alias("p")), "vuln_id")
+    sums = software_keys(sbom).groupBy("asset_id", "v", "p").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
+    known = product_keys(vulns, F.col("products")) if "products" in vulns.columns else vulns.select("vuln_id", key("vendor").alias("v"), key("product").alias("p"))
+    wanted = pairs.join(known, "vuln_id")
     return wanted.join(sums, ["asset_id", "v", "p"]).groupBy(*PAIR).agg(F.sum("n").alias("n"), F.max("best").alias("best"))
 
 
@@ -203,10 +235,14 @@ def sla_compliance(decisions: DataFrame) -> DataFrame:
     """Per action: total, compliant (resolved in time), rate, mean and median hours; open items count as late."""
     hours = F.timestamp_diff("SECOND", F.col("decided_at"), F.col("resolved_at")) / 3600
     timely = F.coalesce(hours <= core.lookup(F.col("action"), core.SLA_HOURS), F.lit(False))
-    return decisions.groupBy("action").agg(
+    rows = decisions.withColumns({"__hours": hours, "__timely": timely})
+    median = percentiles(rows, ["action"], "__hours", [0.5]).select(F.col("action").alias("__action"), F.get("percentiles", F.lit(0)).alias("median"))
+    timely, hours = F.col("__timely"), F.col("__hours")
+    sums = rows.groupBy("action").agg(
         F.count("*").alias("total"), F.count_if(timely).alias("compliant"), F.round(F.count_if(timely) / F.count("*"), 4).alias("rate"),
-        F.round(F.avg(hours), 1).alias("mean_hours"), F.round(F.percentile(hours, 0.5), 1).alias("median_hours"),
+        F.round(F.avg(hours), 1).alias("mean_hours"),
     )
+    return sums.join(median, F.col("action").eqNullSafe(F.col("__action")), "left").drop("__action").select("*", F.round("median", 1).alias("median_hours")).drop("median")
 
 
 def case_studies(decisions: DataFrame, n: int = 2) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vigil.functions import core
 from vigil.operators import audit, models
 from vigil.operators.metrics import ranking_metrics, threshold_metrics
+from vigil.operators.tables import counted, durable
 
 #: Features that an asset label may not be predicted from.
 ASSET_EXCLUDED: dict[str, frozenset[str]] = {
@@ -86,6 +87,48 @@ def audit_report(features: DataFrame, labels: DataFrame | None, asof: str, polic
     return spark.createDataFrame(rows, "check string, passed boolean, detail string")
 
 
+def entity_key(columns: list[str]) -> list[str]:
+    """What tells entities apart: asset and item together, else the item, else its CVE id."""
+    for key in (["asset_id", "vuln_id"], ["vuln_id"], ["cve_id"]):
+        if set(key) <= set(columns):
+            return key
+    raise KeyError("neither vuln_id nor cve_id is a column")
+
+
+def audit_experiment(features: DataFrame, labels: DataFrame, train: DataFrame, test: DataFrame, asof: str, policy: str) -> DataFrame:
+    """check, passed, detail, violators: all four audits of an experiment; a suspicious correlation alone does not fail it.
+
+    Labels meet features by ``entity_key``; temporal counters are observed in the pass that
+    takes all correlations.  Violators are the first of a bounded sort: five late rows (by
+    date, then entity), ten shared entities.
+    """
+    spark, key, late = features.sparkSession, entity_key(features.columns), F.col("published_at") > F.lit(f"{asof} 00:00:00").cast("timestamp_ntz")
+    y = label_column(labels.columns)
+    names = [c for c, kind in features.dtypes if kind in ("double", "float", "int", "bigint") and c not in (*audit.META, *key)]
+    seen_rows, seen = counted(features, n=F.count("*"), future=F.count_if(late))
+    met = seen_rows.join(labels.select(*key, F.col(y).alias("__y")), key)
+    high = sorted(r.feature for r in audit.correlations(met, names, "__y").where("suspicious").collect())  # a row for each feature
+    n, future = seen.values().values()
+    entity = lambda df: df.withColumn("entity", F.concat_ws("_", *[F.col(k).cast("string") for k in key]))
+    first = [r.entity for r in entity(features.where(late)).orderBy("published_at", *key).limit(5).collect()]
+    found = label_leakage_report(features.columns, policy)
+    shared = audit.entity_leakage(entity(train), entity(test), "entity").first()
+    some = [r.entity for r in overlaps(train, test, key).collect()]
+    rows = [
+        ("temporal", future == 0, f"{future} of {n}", first),
+        ("label", found["passed"], ",".join(found["leaked"]) or found["note"], []),
+        ("entity", bool(shared.passed), f"{shared.overlap} of {shared.test_ids}", some),
+        ("correlation", not high, ",".join(high), []),
+    ]
+    rows.append(("overall", all(ok for check, ok, *_ in rows if check != "correlation"), policy, []))
+    return spark.createDataFrame([(*r[:3], ",".join(r[3])) for r in rows], "check string, passed boolean, detail string, violators string")
+
+
+def write_report(report: DataFrame, folder: str) -> None:
+    """Add a report to a folder of reports, as one small JSON file (a row for each check)."""
+    report.coalesce(1).write.mode("append").json(folder)
+
+
 def merged_policy(given: Mapping | None) -> dict:
     """The default policy with the given sections laid over it, key by key; what is no mapping of sections changes nothing."""
     out = copy.deepcopy(DEFAULT_POLICY)
@@ -119,35 +162,14 @@ def synthetic_components(spark: SparkSession, assets: DataFrame, components: lis
 
 
 def items_to_score(vulns: DataFrame, products: DataFrame, software: DataFrame, cve_ids: list[str] | None = None) -> DataFrame:
-    """Items worth scoring: the named ones, else those whose product some asset runs, else (if none does) all."""
-    if cve_ids is not None:
+    """Items worth scoring: the named ones, else those whose product some asset runs by its name (a CPE does not count here), else (if none does) all."""
+    if cve_ids:
         return vulns.where(F.col("cve_id").isin(*cve_ids))
-    hit = products.join(software.select("v", "p").distinct(), ["v", "p"]).select("vuln_id").distinct()
+    hit = products.join(software.where("by = 'name'").select("v", "p").distinct(), ["v", "p"]).select("vuln_id").distinct()
     matched = vulns.join(hit, "vuln_id", "left_semi")
     return vulns if matched.isEmpty() else matched
 
 
-def product_keys(vulns: DataFrame, products: Column) -> DataFrame:
-    """vuln_id, v, p: distinct lower-cased vendor and product of an item's products (structs of vendor, product, cpe)."""
-    x = vulns.select("vuln_id", F.explode(products).alias("x"))
-    cpe = F.split("x.cpe", ":")
-    named = F.struct(F.lower(F.trim("x.vendor")).alias("v"), F.lower(F.trim("x.product")).alias("p"))
-    coded = F.when(F.size(cpe) >= 5, F.struct(F.lower(F.get(cpe, F.lit(3))).alias("v"), F.lower(F.get(cpe, F.lit(4))).alias("p")))
-    keys = x.select("vuln_id", F.explode(F.array_compact(F.array(named, coded))).alias("k")).select("vuln_id", "k.v", "k.p")
-    canon = lambda c: F.translate(c, "_", " ")
-    return keys.where("v <> '' and p <> ''").select("vuln_id", canon("v").alias("v"), canon("p").alias("p")).distinct()
-
-
-def software_keys(sbom: DataFrame) -> DataFrame:
-    """asset_id, v, p, confidence: the name of each component and, where it has a CPE, the name in it."""
-    cpe = F.split("cpe", ":")
-    named = F.struct(F.lower(F.trim("vendor")).alias("v"), F.lower(F.trim("product")).alias("p"))
-    coded = F.when(F.size(cpe) >= 5, F.struct(F.lower(F.get(cpe, F.lit(3))).alias("v"), F.lower(F.get(cpe, F.lit(4))).alias("p")))
-    canon = lambda c: F.translate(c, "_", " ")
-    keys = sbom.select("asset_id", "confidence", F.explode(F.array_distinct(F.array_compact(F.array(named, coded)))).alias("k"))
-    return keys.select("asset_id", canon("k.v").alias("v"), canon("k.p").alias("p"), "confidence")
-
-
 def product_matches(products: DataFrame, software: DataFrame) -> DataFrame:
     """asset_id, vuln_id, best: pairs that share a name by either key, with the largest confidence (0.8 where none is known)."""
     each = software.groupBy("asset_id", "v", "p").agg(F.max("confidence").alias("best"))
@@ -213,8 +235,11 @@ def blend(df: DataFrame, streams: list[str], model: PipelineModel | None = None)
 
 
 def evaluate(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Ranking and threshold metrics of scored rows."""
-    return threshold_metrics(df, by, y, p).join(ranking_metrics(df, by, y, p), by)
+    """Ranking and threshold metrics of scored rows; without groups, one row."""
+    whole = ["__all"] if not by else by
+    df = durable(df if by else df.withColumn("__all", F.lit(1)))
+    out = threshold_metrics(df, whole, y, p).join(ranking_metrics(df, whole, y, p), whole)
+    return out if by else out.drop("__all")
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -10,25 +10,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.tables import durable
 
-def running(df: DataFrame, by: list[str], p: str, sums: dict[str, str], parts: int = 64) -> DataFrame:
+#: Rows of a table of ranges that a join may broadcast.
+MOST_RANGES = 100_000
+
+
+def running(df: DataFrame, by: list[str], p: str, sums: dict[str, str], parts: int | None = None) -> DataFrame:
     """df plus running and total sums (``sums``: column -> name; total_<name> too) from the largest ``p`` down, by group.
 
     ``p`` must be distinct within a group.  Rows are cut into ranges of p by approximate
     quantiles, ranges are summed first, and windows run within a range only: the result
-    is exact whatever the cuts, and no group passes through one task.
+    is exact whatever the cuts, and no group passes through one task.  The input is
+    checkpointed, as it is read three times and may come from a model or a long plan;
+    ``parts`` follows from its size (about 50,000 rows each).
     """
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__k{i}") for i, c in enumerate(by)] or [F.lit("").alias("__k0")]
     names = [f"__k{i}" for i in range(len(keys))]
-    df = df.select("*", *keys)
+    df = durable(df.select("*", *keys))
+    parts = parts or min(1000, max(8, df.count() // 50_000))
+    few = lambda ranges: F.broadcast(ranges) if ranges.count() <= MOST_RANGES else ranges
     edges = df.groupBy(*names).agg(F.percentile_approx(p, [i / parts for i in range(1, parts)], 1000).alias("__edges"))
-    placed = df.join(edges, names).withColumn("__part", F.size(F.filter("__edges", lambda e: e > F.col(p)))).drop("__edges")
+    placed = df.join(few(durable(edges)), names).withColumn("__part", F.size(F.filter("__edges", lambda e: e > F.col(p)))).drop("__edges")
     whole = Window.partitionBy(*names)
     ranges = placed.groupBy(*names, "__part").agg(*[F.sum(c).alias(f"__s_{n}") for c, n in sums.items()])  # at most ``parts`` a group
     ahead = [(F.sum(f"__s_{n}").over(whole.orderBy("__part")) - F.col(f"__s_{n}")).alias(f"__b_{n}") for n in sums.values()]
     ranges = ranges.select(*names, "__part", *ahead, *[F.sum(f"__s_{n}").over(whole).alias(f"total_{n}") for n in sums.values()])
     down = Window.partitionBy(*names, "__part").orderBy(F.desc(p))
-    out = placed.join(ranges, [*names, "__part"])
+    out = placed.join(few(durable(ranges)), [*names, "__part"])
     return out.withColumns({n: F.sum(c).over(down) + F.col(f"__b_{n}") for c, n in sums.items()}).drop(*names, "__part", *[f"__b_{n}" for n in sums.values()])
 
 
@@ -113,6 +122,29 @@ def rank_fusion(df: DataFrame, streams: list[str], key: str = "doc_id", k: int =
     return out.select(key, *[f"rank_{s}" for s in streams], F.round(total, 8).alias("fused"))
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by and percentiles: for each share the exact percentile of the values that are not null, interpolated between neighbours.
+
+    Equal values are counted first; the two places that a share lies between are then
+    found by running counts over ranges of values, so no group's values meet in one buffer.
+    """
+    steps = df.where(F.col(value).isNotNull()).groupBy(*by, (-F.col(value)).alias("__v")).agg(F.count("*").alias("n"))
+    upto = running(steps, by, "__v", {"n": "upto"})
+    found = []
+    for i, share in enumerate(shares):
+        at = F.lit(share) * (F.col("total_upto") - 1)
+        for name, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            found.append(F.min(F.when(F.col("upto") > place, -F.col("__v"))).alias(f"{name}{i}"))
+    out = upto.groupBy(*by).agg(F.max("total_upto").alias("__n"), *found)
+
+    def between(i: int, share: float) -> Column:
+        at = F.lit(share) * (F.col("__n") - 1)
+        low, high = F.col(f"low{i}"), F.col(f"high{i}")
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return out.select(*by, F.array(*[between(i, s) for i, s in enumerate(shares)]).alias("percentiles"))
+
+
 def calibration(df: DataFrame, bins: int = 5, y: str = "y", p: str = "p") -> DataFrame:
     """Uniform bins: mean score and observed rate of each bin that has rows."""
     place = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
@@ -121,7 +153,7 @@ def calibration(df: DataFrame, bins: int = 5, y: str = "y", p: str = "p") -> Dat
 
 def quantile_calibration(df: DataFrame, bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     """Bins by the scores' quantile edges (a value on an edge belongs to the bin above it), empty bins dropped."""
-    edges = df.agg(F.percentile(p, [i / bins for i in range(1, bins)]).alias("e")).withColumn("one", F.lit(1))
+    edges = percentiles(df, [], p, [i / bins for i in range(1, bins)]).select(F.col("percentiles").alias("e"), F.lit(1).alias("one"))  # one row
     place = F.size(F.filter(F.array_distinct("e"), lambda e: e <= F.col(p)))
     return (
         df.withColumn("one", F.lit(1)).join(F.broadcast(edges), "one").groupBy(place.alias("bin"))

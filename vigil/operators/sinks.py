@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.tables import VersionedTable, counted, durable
+
 
 def dedupe_key(cve: str = "cve_id", vendor_id: str = "vuldb_id") -> Column:
     return F.coalesce(F.nullif(F.col(cve), F.lit("")), F.nullif(F.col(vendor_id), F.lit("")), F.lit(""))
@@ -128,14 +130,118 @@ def write_json(df: DataFrame, path: str) -> None:
 #: Schemas of the observation tables, for tables that are created empty.
 SCHEMAS = {
     "vulnerability": "vuln_id long, source string, cve_id string, vuldb_id string, published_at timestamp_ntz, title string, description string, cvss_version string, cvss_vector string, cvss_base_score double, cwe_ids array<string>, references array<struct<url:string,source:string>>, affected_products array<struct<vendor:string,product:string,version:string,cpe:string>>",
-    "signal": "id long, vuln_id long, signal_type string, observed_at timestamp_ntz, value_num double, value_bool boolean, source string",
-    "label": "vuln_id long, policy string, label_value int, rationale string, contributors string",
-    "asset": "asset_id long, name string, criticality string, internet_facing boolean",
+    "signal": "vuln_id long, signal_type string, observed_at timestamp_ntz, value_num double, value_bool boolean, value_text string, source string, evidence_ref string",
+    "label": "vuln_id long, policy string, label_value int, label_asof timestamp_ntz, rationale string",
+    "snapshot": "vuln_id long, asof date, version string, features string",
+    "prediction": "vuln_id long, model string, version string, predicted_at timestamp_ntz, p double",
+    "asset": "asset_id long, name string, asset_type string, environment string, criticality string, owner string, internet_facing boolean, network_zone string, tags map<string,string>",
+    "software": "asset_id long, vendor string, product string, version string, cpe string, purl string, observed_at timestamp_ntz, confidence double, source string",
+    "vex": "vuln_id long, asset_id long, vendor string, product string, status string, justification string, observed_at timestamp_ntz, source string",
+    "reachability": "asset_id long, vuln_id long, reachability_type string, is_reachable boolean, confidence double, evidence_detail string, tool string, observed_at timestamp_ntz",
+    "control": "asset_id long, vuln_id long, control_type string, control_name string, is_active boolean, effectiveness double, evidence_detail string, observed_at timestamp_ntz, source string",
     "decision": "asset_id long, vuln_id long, action string, confidence double, policy_name string, policy_version string, decided_at timestamp_ntz, sla_deadline timestamp_ntz",
 }
 
 
+def tables(spark: SparkSession, folder: str) -> dict[str, VersionedTable]:
+    """Every table of ``SCHEMAS`` in a folder; a table is empty before its first commit."""
+    return {name: VersionedTable(spark, f"{folder}/{name}", schema) for name, schema in SCHEMAS.items()}
+
+
 def create_tables(spark: SparkSession, folder: str) -> None:
-    """Every table of ``SCHEMAS`` that is not there yet, empty."""
-    for table, schema in SCHEMAS.items():
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{table}")
+    """Every table of ``SCHEMAS`` that has no version yet gets an empty first one."""
+    for table in tables(spark, folder).values():
+        if table.version() == 0:
+            table.append(table.read())
+
+
+# --- writers: what they add, count and replace ------------------------------------
+
+_OF_EXPLOITS = "source = 'exploitdb' and signal_type in ('poc_exploitdb', 'metasploit')"
+
+
+def _write(table: VersionedTable, rows: DataFrame, replaced: str | None, dry_run: bool) -> None:
+    """Commit ``rows``; in a dry run they are only passed through, which fills their counters."""
+    if dry_run:
+        rows.write.format("noop").mode("overwrite").save()
+    elif replaced:
+        table.replace(replaced, rows)
+    else:
+        table.append(rows)
+
+
+def write_exploit_signals(table: VersionedTable, exploits: DataFrame, vulns: DataFrame, now: str, overwrite: bool = False, dry_run: bool = False) -> dict[str, int]:
+    """Adds the signals of exploit rows (see ``exploit_summary``) and counts them in the pass that writes.
+
+    A known item gets poc_exploitdb at its earliest date and, if any exploit is a Metasploit
+    module, metasploit at the earliest of those (no date: the poc date, then ``now``),
+    unless (item, kind, source) is held.  With ``overwrite`` the rows of earlier runs
+    go in the same version.  Counters: poc_inserted, msf_inserted, cves_matched (known items
+    among the exploits' CVEs), cves_in_edb, cves_in_db.
+    """
+    known, in_db = counted(vulns.where("cve_id is not null").groupBy("cve_id").agg(F.max("vuln_id").alias("vuln_id")), cves_in_db=F.count("*"))
+    per, in_edb = counted(exploit_summary(exploits), cves_in_edb=F.count("*"))
+    met, matched = counted(per.join(known, "cve_id"), cves_matched=F.count("*"))
+    at = F.coalesce(F.col("first_date").cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz"))
+    msf_at = F.coalesce(F.col("msf_date").cast("timestamp_ntz"), at)
+    none = F.lit(None).cast("string")
+    kind = lambda n, when, num, text: F.struct(F.lit(n).alias("signal_type"), when.alias("observed_at"), num.alias("value_num"), text.alias("value_text"))
+    kinds = F.array_compact(F.array(
+        kind("poc_exploitdb", at, F.col("n").cast("double"), F.concat(F.lit("EDB-IDs: "), "ids")),
+        F.when(F.col("msf"), kind("metasploit", msf_at, F.lit(None).cast("double"), F.lit("Metasploit module (via ExploitDB tags)"))),
+    ))
+    first = F.concat(F.lit("https://www.exploit-db.com/exploits/"), F.substring_index("ids", ",", 1))
+    new = met.select("vuln_id", F.explode(kinds).alias("s"), F.coalesce(first, none).alias("evidence_ref")).select(
+        "vuln_id", "s.*", F.lit(True).alias("value_bool"), F.lit("exploitdb").alias("source"), "evidence_ref"
+    )
+    add = new if overwrite else missing_rows(table.read(), new, ["vuln_id", "signal_type", "source"])
+    of = lambda n: F.count_if(F.col("signal_type") == n)
+    add, inserted = counted(add, poc_inserted=of("poc_exploitdb"), msf_inserted=of("metasploit"))
+    _write(table, add, _OF_EXPLOITS if overwrite else None, dry_run)
+    out = inserted.values() | matched.values() | in_edb.values() | in_db.values()
+    if not in_db.ran:  # nothing to match, so that side was left out
+        out["cves_in_db"] = vulns.where("cve_id is not null").select("cve_id").distinct().count()
+    return out
+
+
+def write_labels(table: VersionedTable, labels: DataFrame, policy: str, asof: str, overwrite: bool = False, dry_run: bool = False) -> dict[str, int]:
+    """Adds one policy's labels (vuln_id, policy, label_value, rationale) of items that have none of it; ``overwrite`` replaces the policy's rows.
+
+    Counters: total (labels computed for what is not skipped), positive, negative, created
+    (0 in a dry run) and skipped.
+    """
+    own, seen = counted(labels.where(F.col("policy") == policy), n=F.count("*"))
+    add = own if overwrite else missing_rows(table.read(), own, ["vuln_id", "policy"])
+    add, kept = counted(add, total=F.count("*"), positive=F.count_if(F.col("label_value") == 1))
+    at = F.lit(f"{asof} 23:59:59.999999").cast("timestamp_ntz").alias("label_asof")
+    _write(table, add.select("vuln_id", "policy", "label_value", at, "rationale"), f"policy = '{policy}'" if overwrite else None, dry_run)
+    n, found = seen.values()["n"], kept.values()
+    return {"total": found["total"], "positive": found["positive"], "negative": found["total"] - found["positive"], "created": 0 if dry_run else found["total"], "skipped": n - found["total"]}
+
+
+def write_snapshots(table: VersionedTable, features: DataFrame, asof: str, version: str = "v1") -> tuple[DataFrame, dict[str, int]]:
+    """Adds each item's features as one JSON text unless (item, asof, version) is held; returns every row of ``features``, written or not, and the counters."""
+    rows = durable(features)
+    texts = rows.select("vuln_id", F.lit(asof).cast("date").alias("asof"), F.lit(version).alias("version"), F.to_json(F.struct(*[c for c in rows.columns if c != "vuln_id"]), {"ignoreNullFields": "false"}).alias("features"))
+    add, kept = counted(missing_rows(table.read(), texts, ["vuln_id", "asof", "version"]), persisted=F.count("*"))
+    _write(table, add, None, False)
+    return rows, {"total": rows.count(), "persisted": kept.values()["persisted"]}
+
+
+def append_components(table: VersionedTable, components: DataFrame, now: str, source: str, confidence: float = 1.0) -> dict[str, int]:
+    """Appends an inventory's components (asset_id, vendor, product, version, purl, cpe) as they are; repeated runs add rows again."""
+    rows, seen = counted(components.withColumns({"observed_at": F.lit(now).cast("timestamp_ntz"), "confidence": F.lit(confidence), "source": F.lit(source)}), appended=F.count("*"))
+    table.append(rows)
+    return seen.values()
+
+
+def append_vex(table: VersionedTable, statements: DataFrame, vulns: DataFrame, now: str, source: str) -> dict[str, int]:
+    """Appends statements of known items; unknown CVEs are counted and dropped, and no asset is named."""
+    given, every = counted(statements, statements=F.count("*"))
+    rows = vex_rows(given, vulns, now)
+    wanted = {"vendor": "unknown", "product": None, "justification": None, "source": source}
+    rows = rows.withColumns({c: F.lit(v).cast("string") for c, v in wanted.items() if c not in rows.columns})
+    rows, seen = counted(rows, appended=F.count("*"))
+    table.append(rows)
+    n = every.values() | seen.values()
+    return n | {"unknown": n["statements"] - n["appended"]}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import core
-from vigil.operators import assets, audit, dashboard, experiments, metrics, models, signals, sinks, text
-from vigil.sources import feeds
+from vigil.operators import assets, audit, dashboard, experiments, metrics, models, signals, sinks, tables, text
+from vigil.sources import feeds, recorded
 from vigil.sources.bindings import ASOF, oracle, view
 from vigil.streaming import signal_log
 
@@ -27,6 +28,11 @@ def query(name: str, sql: str | None = None, *views: str):
     return add
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this run alone, where all executors reach it."""
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def layer_args(spark: SparkSession, sf: str, names: tuple[str, ...]) -> list[DataFrame]:
     return [view(spark, sf, n) for n in names]
 
@@ -556,9 +562,12 @@ def r09(spark, sf):
 
 # --- sources and sinks -------------------------------------------------------------
 
-@query("s05_date_chunks", "select cast(s as date) chunk_start, least(cast(s as date)+119, date '2024-12-31') chunk_end from generate_series(timestamp '2024-01-01', timestamp '2024-12-30', interval 120 day) g(s)")
+@query("s05_date_chunks", """, r as (select min(o_orderdate)::date a, max(o_orderdate)::date b from orders), c as (select unnest(generate_series(a, b - 1, interval 120 day))::date s, b from r where a < b)
+select s chunk_start, least(s+119, b) chunk_end from c""".replace(", r as", "with r as", 1))
 def s05(spark, sf):
-    return feeds.date_chunks(spark, "2024-01-01", "2024-12-31")
+    """The request windows that cover the dates of the table."""
+    ends = spark.read.parquet(f"{sf}/orders.parquet").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    return feeds.date_chunks_of(ends)
 
 
 _CODES = "select l_orderkey*1000+l_linenumber id, concat(case when l_linenumber%3=0 then '' else concat('CVE-2024-', cast(l_partkey as varchar(12)), ';') end, 'OSVDB-1;CVE-2023-', cast(l_suppkey as varchar(12))) codes, cast(l_shipdate as date) shipped, case when l_linenumber%4=0 then 'x,Metasploit' else 'y' end tags from {lineitem}"
@@ -632,31 +641,41 @@ def p10(spark, sf):
     return signals.vulnerability_features(v, view(spark, sf, "b_signal"), ASOF).select("vuln_id", "product_count", "reference_count")
 
 
-_CPE = """, s as (select asset_id, vendor v, product p, confidence from b_sbom union all select asset_id, concat('x',vendor), product, confidence from b_sbom),
-k as (select vuln_id, replace(vendor,'_',' ') v, replace(product,'_',' ') p from b_vuln), m as (select s.asset_id, s.confidence, replace(v,'_',' ') v, replace(p,'_',' ') p from s)
-select m.asset_id, k.vuln_id, coalesce(max(confidence),0.8e0) best from k join m using(v,p) group by all"""
+_CPE = """, s as (select asset_id, vendor v, product p, confidence from b_sbom union all select asset_id, concat('x',vendor), product, confidence from b_sbom)
+select s.asset_id, k.vuln_id, coalesce(max(confidence),0.8e0) best from b_vuln k join s on s.v=k.vendor and s.p=k.product group by all"""
+#: Components under a misspelled vendor, whose CPE has the right one.
+_MISSPELLED = "select asset_id, concat('x', vendor) vendor, product, confidence, observed_at, concat('cpe:2.3:a:', vendor, ':', product, ':1.0') cpe from {sbom}"
 
 
 def _software(spark: SparkSession, sf: str) -> DataFrame:
-    """Components whose vendor is spelled otherwise, and whose CPE has the right one."""
-    cpe = F.concat(F.lit("cpe:2.3:a:"), "vendor", F.lit(":"), "product", F.lit(":1.0"))
-    return experiments.software_keys(view(spark, sf, "b_sbom").select("asset_id", F.concat(F.lit("x"), "vendor").alias("vendor"), "product", "confidence", cpe.alias("cpe")))
+    return spark.sql(_MISSPELLED, sbom=view(spark, sf, "b_sbom"))
 
 
 def _products(spark: SparkSession, sf: str) -> DataFrame:
-    one = F.array(F.struct(F.upper("vendor").alias("vendor"), "product", F.lit(None).cast("string").alias("cpe")))
-    return experiments.product_keys(view(spark, sf, "b_vuln"), one)
+    one = F.array(F.struct(F.upper("vendor").alias("vendor"), "product"))
+    return assets.product_keys(view(spark, sf, "b_vuln"), one)
 
 
 @query("j08_cpe_match", _CPE, "b_vuln", "b_sbom")
 def j08(spark, sf):
-    return experiments.product_matches(_products(spark, sf), _software(spark, sf))
+    return experiments.product_matches(_products(spark, sf), assets.software_keys(_software(spark, sf)))
+
 
+@query("j08_cpe_features", _EV + " select asset_id, vuln_id, case when n>0 then 1e0 else 0e0 end affected_product_confirmed, case when n is null then 0e0 else coalesce(sbest,0.8e0) end sbom_match_confidence from j", *_PAIRS)
+def j08_features(spark, sf):
+    """Items name their products as CPE texts, software matches by its CPE only: the features of pairs are those of matching names."""
+    pair, asset, vuln, _, _, vex, reach, control = _pairs(spark, sf)
+    vuln = vuln.withColumn("products", F.array(F.concat(F.lit("cpe:2.3:a:"), F.upper("vendor"), F.lit(":"), "product", F.lit(":1.0"))))
+    found = assets.actionability_features(pair, asset, vuln, _software(spark, sf), vex, reach, control, ASOF)
+    return found.select("asset_id", "vuln_id", "affected_product_confirmed", "sbom_match_confidence")
 
-@query("j09_items_to_score", " select vuln_id from b_vuln v where exists (select 1 from b_sbom s where s.vendor=v.vendor and s.product=v.product)", "b_vuln", "b_sbom")
+
+@query("j09_items_to_score", " , s as (" + _MISSPELLED.format(sbom="b_sbom") + " union all select asset_id, vendor, product, confidence, observed_at, 'x' from b_sbom where asset_id%7=0) select vuln_id from b_vuln v where exists (select 1 from s where s.vendor=v.vendor and s.product=v.product)", "b_vuln", "b_sbom")
 def j09(spark, sf):
-    v = view(spark, sf, "b_vuln")
-    return experiments.items_to_score(v, _products(spark, sf), _software(spark, sf)).select("vuln_id")
+    """Some assets' software under its right name, all of it under a wrong one with the right CPE, which does not count."""
+    v, right = view(spark, sf, "b_vuln"), view(spark, sf, "b_sbom").where("asset_id % 7 = 0").withColumn("cpe", F.lit("x"))
+    software = _software(spark, sf).unionByName(right.select("asset_id", "vendor", "product", "confidence", "observed_at", "cpe"))
+    return experiments.items_to_score(v, _products(spark, sf), assets.software_keys(software)).select("vuln_id")
 
 
 @query("w04_latest_epss", "select vuln_id, arg_max(value_num, (observed_at, id)) value_num from b_signal where signal_type='epss' group by 1", "b_signal")
@@ -695,6 +714,28 @@ def d24(spark, sf):
     return experiments.audit_report(view(spark, sf, "b_vuln"), None, ASOF, "kev_strict")
 
 
+_EXPERIMENT = _SIG + f""", f as (select v.vuln_id, published_at, cvss_base_score, coalesce(kev,false)::int::double kev_flag, coalesce(epss_max,0) epss_score from b_vuln v left join sig using(vuln_id)),
+l as (select vuln_id, coalesce(kev,false)::int y from b_vuln left join sig using(vuln_id) where vuln_id%3<>0), m as (select * from f join l using(vuln_id)),
+tr as (select vuln_id from f where published_at <= timestamp '{ASOF}'), te as (select vuln_id from f where published_at > timestamp '2024-01-15'),
+c as (select * from (select unnest(['cvss_base_score','epss_score','kev_flag']) n, unnest([corr(cvss_base_score,y), corr(epss_score,y), corr(kev_flag,y)]) r from m) where abs(r)>0.95)
+select 'temporal' "check", count(*) filter(published_at > timestamp '{ASOF}')=0 passed, (count(*) filter(published_at > timestamp '{ASOF}'))::varchar||' of '||count(*)::varchar detail,
+ (select string_agg(vuln_id::varchar, ',' order by published_at, vuln_id) from (select * from f where published_at > timestamp '{ASOF}' order by published_at, vuln_id limit 5)) violators from f
+union all select 'label', false, 'kev_flag', ''
+union all select 'entity', count(tr.vuln_id)=0, count(tr.vuln_id)::varchar||' of '||count(*)::varchar, coalesce((select string_agg(e, ',' order by e) from (select distinct vuln_id::varchar e from te semi join tr using(vuln_id) order by e limit 10)),'') from te left join tr using(vuln_id)
+union all select 'correlation', count(*)=0, coalesce(string_agg(n, ',' order by n),''), '' from c
+union all select 'overall', false, 'kev_strict', ''"""
+
+
+@query("d24_audit_experiment", _EXPERIMENT, "b_vuln", "b_signal")
+def d24_experiment(spark, sf):
+    v, s = view(spark, sf, "b_vuln"), signals.signal_pivot(signals.asof_filter(view(spark, sf, "b_signal"), ASOF))
+    kev = F.coalesce("kev", F.lit(False)).cast("double")
+    f = v.join(s, "vuln_id", "left").select("vuln_id", "published_at", "cvss_base_score", kev.alias("kev_flag"), F.coalesce("epss_max", F.lit(0.0)).alias("epss_score"))
+    labels = f.where("vuln_id % 3 <> 0").select("vuln_id", F.col("kev_flag").cast("int").alias("label_value"))
+    at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
+    return experiments.audit_experiment(f, labels, f.where(F.col("published_at") <= at(ASOF)), f.where(F.col("published_at") > at("2024-01-15")), ASOF, "kev_strict")
+
+
 @query("d26_asset_slices", _EV + """, f as (select internet_facing i, case coalesce(criticality,'medium') when 'low' then 0.25e0 when 'medium' then 0.5e0 when 'high' then 0.75e0 when 'critical' then 1e0 else 0.5e0 end c, coalesce(network,false) n,
 round(coalesce((coalesce(waf,false)::int+coalesce(edr,false)::int+coalesce(ips,false)::int+coalesce(seg,false)::int)::double/4*mean,0)+1e-9,4) k from j),
 x as (select unnest(list_filter(['overall','no_kev', case when i then 'internet_facing' end, case when c>=0.75 then 'crown_jewel' end, case when n then 'reachable_confirmed' end, case when k>=0.5 then 'high_control_coverage' end], lambda e: e is not null)) slice from f)
@@ -783,22 +824,159 @@ def s27(spark, sf):
     return experiments.techniques(e)
 
 
+# --- tables, recorded sources, caches ----------------------------------------------------
+
+_HALF = "exploit_id%2=0"
+
+
+def _written(name: str, which: str) -> str:
+    """The signals that the exploits of ``which`` give, as common table expressions over e (see _EXPLODED) and b_vuln."""
+    return f"""{name}_a as (select cve_id, min(published) d, count(*) n, bool_or(msf) m, min(published) filter(msf) md, list_slice(list(exploit_id order by exploit_id),1,5) five from e where {which} group by 1),
+{name}_k as (select * from {name}_a join b_vuln using(cve_id)),
+{name} as (select vuln_id, 'poc_exploitdb' signal_type, d::timestamp observed_at, n::double value_num, 'EDB-IDs: '||array_to_string(five,',') value_text, 'https://www.exploit-db.com/exploits/'||five[1]::varchar evidence_ref from {name}_k
+union all select vuln_id, 'metasploit', md::timestamp, null, 'Metasploit module (via ExploitDB tags)', 'https://www.exploit-db.com/exploits/'||five[1]::varchar from {name}_k where m)"""
+
+
+_RUNS = _EXPLODED.replace("with ", ", ", 1) + ", " + _written("h", _HALF) + ", " + _written("w", "true") + ", more as (select * from w where not exists (select 1 from h where h.vuln_id=w.vuln_id and h.signal_type=w.signal_type))"
+_INSERTED = "count(*) filter(signal_type='poc_exploitdb') poc_inserted, count(*) filter(signal_type='metasploit') msf_inserted"
+_OF_ALL = "(select count(*) from w_k) cves_matched, (select count(*) from w_a) cves_in_edb, (select count(*) from b_vuln) cves_in_db"
+
+
+@query("k04_exploit_table", _RUNS + " select * from h union all select * from more", "b_vuln")
+def k04_table(spark, sf):
+    """The table after half of the exploits, all of them, and all of them again."""
+    signals_of = sinks.tables(spark, new_folder(spark, "exploits"))["signal"]
+    v, rows = view(spark, sf, "b_vuln"), _exploits(spark, sf).withColumn("pos", F.col("exploit_id"))
+    for part in (rows.where(_HALF), rows, rows):
+        sinks.write_exploit_signals(signals_of, part, v, f"{ASOF} 00:00:00")
+    return signals_of.read().select("vuln_id", "signal_type", "observed_at", "value_num", "value_text", "evidence_ref")
+
+
+@query("k04_counters", _RUNS + f""" select 1::bigint run, {_INSERTED}, (select count(*) from h_k) cves_matched, (select count(*) from h_a) cves_in_edb, (select count(*) from b_vuln) cves_in_db, 1::bigint grew from h
+union all select 2, {_INSERTED}, {_OF_ALL}, 1 from more union all select 3, 0, 0, {_OF_ALL}, 1 union all select 4, {_INSERTED}, {_OF_ALL}, 0 from w""", "b_vuln")
+def k04_counters(spark, sf):
+    """Counters of four runs: half of the exploits, all, all again, and all with overwrite as a dry run; grew: whether a version followed."""
+    signals_of = sinks.tables(spark, new_folder(spark, "exploits"))["signal"]
+    v, rows = view(spark, sf, "b_vuln"), _exploits(spark, sf).withColumn("pos", F.col("exploit_id"))
+    found = []
+    for run, (part, over) in enumerate(((rows.where(_HALF), False), (rows, False), (rows, False), (rows, True)), 1):
+        before = signals_of.version()
+        counts = sinks.write_exploit_signals(signals_of, part, v, f"{ASOF} 00:00:00", overwrite=over, dry_run=over)
+        found.append((run, *counts.values(), signals_of.version() - before))
+    return spark.createDataFrame(found, "run long, " + ", ".join(f"{c} long" for c in counts) + ", grew long")
+
+
+@query("k05_label_table", _ALL_LABELS + """, l as (select vuln_id, policy, label_value from labels4)
+select vuln_id, policy, label_value from l where policy='kev_strict' union all select vuln_id, policy, label_value from l where policy='epss_derived' and vuln_id%2=0""", "b_vuln", "b_signal")
+def k05_table(spark, sf):
+    """Labels of two policies, one of them replaced by its rows of every other item; a dry run leaves no trace."""
+    labels_of, rows = sinks.tables(spark, new_folder(spark, "labels"))["label"], tables.durable(_all_labels(spark, sf))
+    sinks.write_labels(labels_of, rows, "kev_strict", ASOF)
+    sinks.write_labels(labels_of, rows, "epss_derived", ASOF)
+    sinks.write_labels(labels_of, rows, "composite_no_leak", ASOF, dry_run=True)
+    sinks.write_labels(labels_of, rows.where("vuln_id % 2 = 0"), "epss_derived", ASOF, overwrite=True)
+    sinks.write_labels(labels_of, rows, "kev_strict", ASOF)
+    return labels_of.read().select("vuln_id", "policy", F.col("label_value").cast("long").alias("label_value"))
+
+
+@query("k06_snapshot_table", f" select vuln_id, date '{ASOF}' as \"asof\", cvss_base_score, 2::bigint runs from b_vuln", "b_vuln")
+def k06_table(spark, sf):
+    """All rows come back from the second run too, which stores none; what is stored is read back from its JSON."""
+    snapshots = sinks.tables(spark, new_folder(spark, "snapshots"))["snapshot"]
+    v = view(spark, sf, "b_vuln").select("vuln_id", "cvss_base_score")
+    sinks.write_snapshots(snapshots, v, ASOF)
+    again, counts = sinks.write_snapshots(snapshots, v, ASOF)
+    stored = snapshots.read().select("vuln_id", "asof", F.get_json_object("features", "$.cvss_base_score").cast("double").alias("cvss_base_score"))
+    runs = F.lit(snapshots.version() if counts["persisted"] == 0 else -1).cast("long")
+    return stored.join(again.select("vuln_id"), "vuln_id").withColumn("runs", runs)
+
+
+@query("k08_component_table", ", r as (select asset_id, vendor, product from b_sbom where asset_id%3=0) select asset_id, vendor, product, 2*count(*) n from r group by all", "b_sbom")
+def k08_table(spark, sf):
+    """Components appended twice: they are observations, so repeats stay."""
+    software = sinks.tables(spark, new_folder(spark, "software"))["software"]
+    rows = view(spark, sf, "b_sbom").where("asset_id % 3 = 0").select("asset_id", "vendor", "product", *[F.lit(None).cast("string").alias(c) for c in ("version", "cpe", "purl")])
+    for _ in range(2):
+        sinks.append_components(software, rows, f"{ASOF} 00:00:00", "b_sbom")
+    return software.read().groupBy("asset_id", "vendor", "product").agg(F.count("*").alias("n"))
+
+
+_PAGED = "select vuln_id, cve_id, description, published_at, cvss_base_score, case when cvss_base_score>=9 then 'CRITICAL' when cvss_base_score>=7 then 'HIGH' when cvss_base_score>=4 then 'MEDIUM' else 'LOW' end severity from b_vuln"
+
+
+@query("s30_recorded_pages", f", p as ({_PAGED}) select cve_id, coalesce(description,'') description, published_at, nullif(cvss_base_score,0) cvss_base_score from p where severity in ('HIGH','CRITICAL')", "b_vuln")
+def s30(spark, sf):
+    """Items recorded as a crawler's page files, of which those of two severities are opened."""
+    rows = spark.sql(_PAGED.replace("b_vuln", "{b_vuln}"), b_vuln=view(spark, sf, "b_vuln"))
+    record = F.struct(F.struct(
+        F.col("cve_id").alias("id"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published"), F.array(F.struct(F.lit("en").alias("lang"), F.col("description").alias("value"))).alias("descriptions"),
+        F.struct(F.array(F.struct(F.lit("Primary").alias("type"), F.struct(F.col("cvss_base_score").alias("baseScore")).alias("cvssData"))).alias("cvssMetricV31")).alias("metrics"),
+    ).alias("cve"))
+    folder = new_folder(spark, "pages")
+    recorded.write_pages(rows.select("severity", F.col("vuln_id").alias("place"), F.to_json(record).alias("record")), folder, page_size=500)
+    found = recorded.PageProvider(folder, ("HIGH", "CRITICAL")).fetch(spark)
+    return found.select("cve_id", "description", "published_at", "cvss_base_score")
+
+
+@query("s29_latest_report", f"""select 'temporal' "check", count(*) filter(published_at > timestamp '{ASOF}')=0 passed, (count(*) filter(published_at > timestamp '{ASOF}'))::varchar||' of '||count(*)::varchar detail from b_vuln
+union all select 'label', true, '' union all select 'overall', count(*) filter(published_at > timestamp '{ASOF}')=0, 'kev_strict' from b_vuln""", "b_vuln")
+def s29(spark, sf):
+    """Two audits write their reports into a folder; the newer one is read."""
+    folder, v = new_folder(spark, "reports"), view(spark, sf, "b_vuln")
+    for asof in ("2030-01-01", ASOF):
+        experiments.write_report(experiments.audit_report(v, None, asof, "kev_strict"), folder)
+    return recorded.latest_report(spark, folder, "check string, passed boolean, detail string").select("check", "passed", "detail")
+
+
+@query("s28_cached_vectors", """select s.step::bigint step, s.came, case when s.step=3 then (select count(*) from embeddings where vec_id%2=0) else (select count(*) from embeddings) end n from (values (1,'miss'),(2,'hit'),(3,'stale'),(4,'stale')) s(step, came)""")
+def s28(spark, sf):
+    """A cache of normalised vectors asked four times: new, unchanged, with half of the rows, with all again."""
+    folder, e = new_folder(spark, "cache"), spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    unit = lambda df: df.select("vec_id", F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y * y))).alias("unit"))
+    found = []
+    for step, rows in enumerate((e, e, e.where("vec_id % 2 = 0"), e), 1):
+        out, came = tables.cached(rows, folder, "unit", unit)
+        found.append((step, came, out.count()))
+    return spark.createDataFrame(found, "step long, came string, n long")
+
+
 # --- models and streaming (no SQL form) ------------------------------------------------
 
 @query("m02_trees")
 def m02(spark, sf):
     df = signals.vulnerability_features(view(spark, sf, "b_vuln"), view(spark, sf, "b_signal"), ASOF).join(_labels(spark, sf, "composite_no_leak").select("vuln_id", "label_value"), "vuln_id")
     features = sorted(audit.ablation_columns("cve_only") & set(df.columns))
-    model = models.train_trees(df, features, "label_value", rounds=5, depth=3)
+    model = models.train_trees(tables.durable(df.select("vuln_id", "label_value", *features)), features, "label_value")
     return models.scored(model, df, features).select("vuln_id", "label_value", F.round("p", 6).alias("p"))
 
 
 @query("m12_stacking")
 def m12(spark, sf):
-    _, out = models.stack(view(spark, sf, "b_score").select("doc_id", "y", *STREAMS), STREAMS, folds=2)
+    _, out = models.stack(tables.durable(view(spark, sf, "b_score").select("doc_id", "y", *STREAMS)), STREAMS)
     return models.calibrated(out).select("doc_id", "y", F.round("p", 6).alias("p"), F.round("calibrated", 6).alias("calibrated"))
 
 
+def _encoded(spark: SparkSession, sf: str, width: int = 1 << 18) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return models.encoded(docs, models.text_encoder(docs.where("doc_id % 5 <> 0"), width=width))
+
+
+@query("m17_text_encoding")
+def m17(spark, sf):
+    """Every document's encoding, fitted on four fifths of them, as indices and values."""
+    found = models.sparse_parts(_encoded(spark, sf).select("doc_id", "encoding"), "encoding")
+    return found.select("doc_id", "indices", F.transform("values", lambda x: F.round(x, 6)).alias("weights"))
+
+
+@query("m21_text_head")
+def m21(spark, sf):
+    """Metrics of a text head on the fifth of the labelled documents that it has not seen."""
+    labelled = _encoded(spark, sf, 1 << 14).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("y")), "doc_id").where("y is not null")
+    rows = tables.durable(labelled.select("doc_id", "y", "encoding"))
+    head = models.vector_head(rows.where("doc_id % 5 <> 0"), "y")
+    return experiments.evaluate(models.vector_scores(rows.where("doc_id % 5 = 0"), head), [])
+
+
 @query("m18_components")
 def m18(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")

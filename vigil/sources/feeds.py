@@ -118,15 +118,18 @@ def normalise_nvd(pages: DataFrame) -> DataFrame:
     )
 
 
-def date_chunks(spark: SparkSession, start: str, end: str, days: int = 120) -> DataFrame:
-    """Request windows of at most ``days`` days; an empty or one-day range has none."""
-    row = spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("b"))
+def date_chunks_of(ends: DataFrame, days: int = 120) -> DataFrame:
+    """chunk_start, chunk_end: request windows of at most ``days`` days for each (a, b); an empty or one-day range has none."""
     steps = F.sequence("a", F.greatest(F.date_sub("b", 1), "a"), F.expr(f"interval {days} day"))
-    return row.select(F.explode(F.when(F.col("a") < F.col("b"), steps)).alias("chunk_start"), "b").select(
+    return ends.select(F.explode(F.when(F.col("a") < F.col("b"), steps)).alias("chunk_start"), "b").select(
         "chunk_start", F.least(F.date_add("chunk_start", days - 1), "b").alias("chunk_end")
     )
 
 
+def date_chunks(spark: SparkSession, start: str, end: str, days: int = 120) -> DataFrame:
+    return date_chunks_of(spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("b")), days)
+
+
 def kev_signals(catalogue: DataFrame) -> DataFrame:
     """cve_id, observed_at, value_bool of a catalogue (vulnerabilities array of cveID, dateAdded)."""
     return catalogue.select(F.explode("vulnerabilities").alias("v")).select(
