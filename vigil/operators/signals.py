@@ -137,6 +137,21 @@ def build_labels(vulns: DataFrame, signals: DataFrame, policy: str, asof: str) -
     )
 
 
+def label_provenance(labels: DataFrame, signals: DataFrame) -> DataFrame:
+    """Labels of ``build_labels`` with contributing_signals, an array of (observed_at, id, signal_type, value_num, value_bool) by time and id, and excluded_features.
+
+    Only the rows that a label names are gathered: those of one item.
+    """
+    named = labels.where("contributors <> ''").select("vuln_id", "policy", F.explode(F.split("contributors", ",").cast("array<long>")).alias("id"))
+    rows = named.join(signals.select("id", "observed_at", "signal_type", "value_num", "value_bool"), "id")
+    found = rows.groupBy("vuln_id", "policy").agg(F.sort_array(F.collect_list(F.struct("observed_at", "id", "signal_type", "value_num", "value_bool"))).alias("contributing_signals"))
+    excluded = F.create_map(*[x for p in POLICIES.values() for x in (F.lit(p.name), F.array(*map(F.lit, sorted(p.excluded))))])
+    none = F.array().cast(found.schema["contributing_signals"].dataType)
+    return labels.join(found, ["vuln_id", "policy"], "left").select(
+        "vuln_id", "policy", "label_value", "rationale", F.coalesce("contributing_signals", none).alias("contributing_signals"), excluded[F.col("policy")].alias("excluded_features")
+    )
+
+
 def legacy_labels(vulns: DataFrame, signals: DataFrame, policy: str = "composite") -> DataFrame:
     """Labels from the last signal of each type (by id), without an as-of date."""
     kinds = {"composite": EXPLOITS, "kev_only": ("kev",), "poc_only": ("poc_exploitdb",)}[policy]

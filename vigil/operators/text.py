@@ -95,7 +95,7 @@ def verify_briefs(briefs: DataFrame, techniques: DataFrame) -> DataFrame:
     ``briefs``: brief_id, description, p_final and attck, an array of (technique_id, rationale,
     evidence array of text); ``techniques``: technique_id.
     """
-    known = F.broadcast(techniques.select("technique_id").distinct().withColumn("known", F.lit(True)))
+    known = techniques.select("technique_id").distinct().withColumn("known", F.lit(True))
     maps = briefs.select("brief_id", F.explode("attck").alias("m")).select("brief_id", "m.*").join(known, "technique_id", "left")
     bad = maps.groupBy("brief_id").agg(
         F.bool_or(F.col("known").isNull()).alias("technique"),

@@ -328,6 +328,14 @@ def a17(spark, sf):
     return assets.sla_compliance(spark.sql(_SLA.replace('"action"', "action"), orders=spark.read.parquet(f"{sf}/orders.parquet")))
 
 
+@query("d06_provenance", f""", c as (select vuln_id, count(*) n, string_agg(signal_type||'@'||id::varchar, ',' order by observed_at, id) signals, min(observed_at) first_seen from b_signal where signal_type='kev' and coalesce(value_bool,false) and observed_at <= timestamp '{ASOF} 23:59:59.999999' group by 1)
+select v.vuln_id, (n is not null)::int::bigint label_value, coalesce(n,0) n, coalesce(signals,'') signals, first_seen, 'kev_flag' excluded from b_vuln v left join c using(vuln_id)""", "b_vuln", "b_signal")
+def d06_provenance(spark, sf):
+    found = signals.label_provenance(_labels(spark, sf, "kev_strict"), view(spark, sf, "b_signal"))
+    each = F.transform("contributing_signals", lambda c: F.concat_ws("@", c["signal_type"], c["id"]))
+    return found.select("vuln_id", "label_value", F.size("contributing_signals").cast("long").alias("n"), F.array_join(each, ",").alias("signals"), F.get("contributing_signals", F.lit(0))["observed_at"].alias("first_seen"), F.array_join("excluded_features", ",").alias("excluded"))
+
+
 # --- audits and slices ---------------------------------------------------------
 
 @query("d20_temporal_leakage", f"""select count(*) n, count(*) filter(published_at > timestamp '{ASOF}') future, round(count(*) filter(published_at > timestamp '{ASOF}')/greatest(count(*),1)::double,4) fraction,
@@ -619,9 +627,9 @@ def k03(spark, sf):
     return sinks.ingest_signals(records, view(spark, sf, "b_vuln"))
 
 
-@query("j12_missing_rows", "select vuln_id, signal_type from b_signal n where observed_at > timestamp '2024-01-25' and not exists (select 1 from b_signal h where h.observed_at <= timestamp '2024-01-25' and h.vuln_id=n.vuln_id and h.signal_type=n.signal_type)", "b_signal")
+@query("j12_missing_rows", "select vuln_id, signal_type from b_signal n where observed_at > timestamp '2024-01-02' and not exists (select 1 from b_signal h where h.observed_at <= timestamp '2024-01-02' and h.vuln_id=n.vuln_id and h.signal_type=n.signal_type)", "b_signal")
 def j12(spark, sf):
-    s, cut = view(spark, sf, "b_signal"), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    s, cut = view(spark, sf, "b_signal"), F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
     return sinks.missing_rows(s.where(F.col("observed_at") <= cut), s.where(F.col("observed_at") > cut), ["vuln_id", "signal_type"]).select("vuln_id", "signal_type")
 
 
@@ -806,10 +814,12 @@ def k08(spark, sf):
     return sinks.vex_rows(rows, view(spark, sf, "b_vuln"), f"{ASOF} 00:00:00").select("vuln_id", "status")
 
 
-@query("k09_vector_payload", "select doc_id id, left(text,500) text, lang from documents qualify row_number() over(partition by doc_id order by text desc)=1")
+@query("k09_vector_payload", "select e.vec_id id, len(e.embedding)::bigint width, round(e.embedding[1],6) head, left(d.text,500) text, d.lang from embeddings e left join (select * from documents qualify row_number() over(partition by doc_id order by text desc)=1) d on d.doc_id=e.vec_id")
 def k09(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("v", F.array(F.lit(0.0)))
-    return sinks.vector_payload(docs, "doc_id", "v", {"text": 500, "lang": 5}).drop("vector")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").join(docs, F.col("vec_id") == F.col("doc_id"), "left")
+    out = sinks.vector_payload(rows, "vec_id", "embedding", {"text": 500, "lang": 5})
+    return out.select("id", F.size("vector").cast("long").alias("width"), F.round(F.get("vector", F.lit(0)), 6).alias("head"), "text", "lang")
 
 
 @query("f09_in_list", "select vuln_id from b_vuln where cve_id in ('CVE-2024-3','CVE-2024-44','CVE-2024-0')", "b_vuln")
