@@ -52,3 +52,14 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
     assert all(out[200 + i].kept and out[200 + i].n_removed_lines == 0 for i in range(60))
     same = line_quality.judge_lines(docs(spark, rows), broadcast_hosts=0)
     assert {r.doc_id: r.kept for r in same.collect()} == {k: r.kept for k, r in out.items()}
+
+
+def test_planted_depleted_documents_are_rejected_through_the_query(spark, tmp_path):
+    """21 texts of a source share a boilerplate of 60 words: those that have little else go, a plain copy of one of them too."""
+    word = lambda i, j: "v" + "".join(chr(97 + x) for x in (i // 26, i % 26, j // 26, j % 26))
+    boiler = "\n".join(" ".join(word(300 + k, j) for j in range(20)) for k in range(3))
+    rows = [(i, boiler + "\n" + " ".join(word(i, j) for j in range(5 if i % 3 else 90)), "en", None, 1) for i in range(21)]
+    rows += [(100, rows[1][1], "en", None, 1), (101, rows[1][1], "en", "other", 1)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.kept, r.n_removed_lines, r.base_failed) for r in queries.op4_quality_rules(spark, str(tmp_path)).collect()}
+    assert out == {i: (i % 3 == 0, 3, False) for i in range(21)} | {100: (False, 3, False), 101: (True, 0, False)}

@@ -2,18 +2,13 @@
 
 Normalised lines are hashed; for every host the distinct documents (distinct texts,
 so plain copies of one document do not make its lines look like boilerplate) that
-hold a line are counted.  Lines held by more than ``max(min_docs, max_share of the
-host's documents)`` are boilerplate: they are removed, and a document left with
+hold a line are counted.  Lines that more than ``min_docs`` of a host's texts hold are
+boilerplate, whatever the size of the host: they are removed, and a document left with
 less than ``min_left`` of its words is rejected.
 
-More than ``max_share`` of a host's documents hold each such line, so a host has at
-most (mean lines per document) / max_share of them: the lines are kept as one short
-array per host and matched inside the row, without moving the text through a shuffle
-where the hosts' table is small.
-
-Without a share (``max_share`` None) the limit is ``min_docs`` alone, whatever the size
-of the host, and a host's lines have no bound: the lines of the documents are joined to
-the frequent ones, and each distinct text gets those it holds.
+A host's boilerplate has no bound, so it is no array a row: the lines of the documents
+are joined to the frequent ones, and each distinct text gets those that it holds.
+Lines are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -80,15 +75,19 @@ def base_columns(df: DataFrame, text: str) -> DataFrame:
 
 
 def line_keys(text: Column) -> Column:
-    """Hash of every \\n-split line after trimming, lower-casing A-Z and folding digits; null for blank lines."""
+    """128-bit hash (in hexadecimal) of every \\n-split line after trimming, lower-casing A-Z and folding digits; null for blank lines."""
     bare = lambda x: F.regexp_replace(ascii_lower(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))), "[0-9]+", "0")
-    return F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(f"[^{SPACE}]"), F.xxhash64(bare(x))))
+    return F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(f"[^{SPACE}]"), digest(bare(x))))
+
+
+def digest(x: Column) -> Column:
+    return F.md5(x.cast("binary"))
 
 
 def documents_of(df: DataFrame, text: str, host: str) -> DataFrame:
-    """host, doc (hash of the text), keys (see ``line_keys``) of every row."""
+    """host, doc (128-bit hash of the text), keys (see ``line_keys``) of every row."""
     body = F.coalesce(name(text), F.lit(""))
-    return df.select(name(host).cast("string").alias("host"), F.xxhash64(body).alias("doc"), line_keys(body).alias("keys"))
+    return df.select(name(host).cast("string").alias("host"), digest(body).alias("doc"), line_keys(body).alias("keys"))
 
 
 def held_lines(docs: DataFrame, min_docs: int) -> DataFrame:
@@ -112,35 +111,15 @@ def frequent_by_text(df: DataFrame, *, text: str, host: str, min_docs: int, broa
     same = F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k"))
     if salted is frequent:  # a line that most of a host's texts hold is no single task
         salted = frequent.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        same &= F.pmod(F.col("doc"), F.lit(salts)) == F.col("s")
+        same &= F.pmod(F.xxhash64("doc"), F.lit(salts)) == F.col("s")
     return own.join(salted, same).groupBy("host", "doc").agg(F.collect_set("key").alias("frequent"))
 
 
-def frequent_lines(
-    df: DataFrame, *, text: str = "text", host: str = "source", max_share: float = 0.1, min_docs: int = 20
-) -> DataFrame:
-    """host, frequent (array of line hashes): the lines above the limit, one row per host that has any.
-
-    A null host is a host of its own (returned as null).
-    """
-    docs = documents_of(df, text, host)
-    sizes = docs.groupBy("host", "doc").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
-    held = held_lines(docs, min_docs)
-    same = held["host"].eqNullSafe(sizes["host"])
-    return (
-        held.join(sizes, same)
-        .where(F.col("held") > max_share * F.col("docs"))
-        .groupBy(held["host"].alias("host"))
-        .agg(F.sort_array(F.collect_set("key")).alias("frequent"))
-    )
-
-
 def judge_lines(
     df: DataFrame,
     *,
     text: str = "text",
     host: str = "source",
-    max_share: float | None = 0.1,
     min_docs: int = 20,
     min_left: float = 0.2,
     broadcast_hosts: int = 5_000,
@@ -150,28 +129,25 @@ def judge_lines(
 
     Null text counts as empty, has no words and fails the base rule; blank lines are
     never boilerplate.  ``kept`` is false where the base rule fails or where fewer than
-    ``min_left`` of the words stay once frequent lines are gone.  Input columns named
-    like the outputs are replaced.
+    ``min_left`` of the words stay once frequent lines are gone.  A null host is a host
+    of its own; repeated rows are one text to the counts, and each gets its verdict; texts
+    of any length are taken whole; an empty table gives no rows.  Input columns named like
+    the outputs are replaced.
     """
     added = (
         "clean_text", "n_removed_lines", "n_left_words", "n_words", "word_chars",
         "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     )
     kept = [c for c in df.columns if c not in added]
-    if max_share is None:
-        lines = durable(frequent_by_text(df, text=text, host=host, min_docs=min_docs, broadcast_lines=broadcast_lines))
-    else:
-        lines = durable(frequent_lines(df, text=text, host=host, max_share=max_share, min_docs=min_docs))
+    lines = durable(frequent_by_text(df, text=text, host=host, min_docs=min_docs, broadcast_lines=broadcast_lines))
     rows = df.select(
         F.struct(*[name(c) for c in kept]).alias("row"),
         F.coalesce(name(text), F.lit("")).alias("body"),
         name(host).cast("string").alias("at"),
     )
-    same = F.col("at").eqNullSafe(F.col("host"))
-    if max_share is None:
-        same &= F.xxhash64("body") == F.col("doc")
+    same = F.col("at").eqNullSafe(F.col("host")) & (digest(F.col("body")) == F.col("doc"))
     rows = rows.join(small_side(lines, broadcast_hosts), same, "left")
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<string>")
     rows = rows.withColumn("keys", line_keys(F.col("body"))).withColumn("frequent", F.coalesce("frequent", none))
     gone = lambda i: F.coalesce(F.array_contains(F.col("frequent"), F.get(F.col("keys"), i)), F.lit(False))
     hit = F.arrays_overlap("keys", "frequent")

@@ -198,9 +198,8 @@ rep as (select doc_id, i from (select *, count(*) over(partition by doc_id, x) c
 cov as (select doc_id, count(distinct p)::bigint n from (select doc_id, unnest([i,i+1,i+2]) p from rep) group by 1),
 l as (select doc_id, source, text, line, i, len(regexp_extract_all(line,'{_WORD}')) nw, regexp_replace(translate(trim(line,{_BLANKS}),'{_A}','{_Z}'),'[0-9]+','0','g') k from ({_LINES})),
 dup as (select doc_id, (count(line) - count(distinct line))::bigint n from l where nw>0 group by 1),
-sz as (select source, count(distinct coalesce(text,'')) docs from documents group by 1),
-fr as (select source, k from l join sz using(source) where nw>0 group by source, k, docs having count(distinct coalesce(text,''))>20 and count(distinct coalesce(text,''))>0.1*docs),
-gone as (select l.doc_id, count(*) n, sum(nw)::bigint nw from l join fr on fr.source=l.source and fr.k=l.k where nw>0 group by 1),
+fr as (select source, k from l where nw>0 group by source, k having count(distinct coalesce(text,''))>20),
+gone as (select l.doc_id, count(*) n, sum(nw)::bigint nw from l join fr on fr.source is not distinct from l.source and fr.k=l.k where nw>0 group by 1),
 b as (select d.doc_id, len(ws)::bigint n_words, length(regexp_replace(d.text,'[\\x20\\x09-\\x0D]+','','g'))::bigint word_chars, length(regexp_replace(d.text,'[^#*$%&|<>]+','','g'))::bigint n_symbols,
  coalesce(dup.n,0) n_dup_lines, coalesce(cov.n,0) n_repeat_words, coalesce(gone.n,0) n_removed_lines, len(ws)-coalesce(gone.nw,0) n_left_words
  from d left join dup using(doc_id) left join cov using(doc_id) left join gone using(doc_id)),
