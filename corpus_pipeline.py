@@ -39,7 +39,7 @@ def _unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that more than 20 texts of their source hold."""
-    judged = line_quality.judge_lines(_packed(docs), max_share=None).where("kept")
+    judged = line_quality.judge_lines(_packed(docs)).where("kept")
     text = F.when(F.col("n_removed_lines") > 0, F.col("clean_text")).otherwise(F.col("text"))
     return _unpacked(judged.withColumn("text", text), docs.columns)
 
