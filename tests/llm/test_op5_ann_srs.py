@@ -71,7 +71,7 @@ def test_shards_blocks_copies_and_a_stop_before_the_end(spark):
 def test_a_known_bound_is_shared(spark):
     rng = np.random.default_rng(3)
     points = rng.standard_normal((4000, 32))
-    search = lambda worst: ann_srs.search_shard([[i] for i in range(4000)], points, np.array([-1]), points[:1] + 0.01, np.array([worst]), k=5, m=16, seed=1, confidence=0.9)
+    search = lambda worst: ann_srs.search_shard([[i] for i in range(4000)], points, np.array([-1]), points[:1] + 0.01, np.array([worst]), k=5, m=16, seed=1, limit=ann_srs.chi_square_quantile(0.9, 16))
     (_, alone), (found, told) = search(-1.0), search(0.999)
     assert told[0] < alone[0] / 10 and [i for _, i, _ in found] == [0]
 

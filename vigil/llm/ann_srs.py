@@ -13,14 +13,14 @@ the radius that follows is what every other shard starts with, and cells beyond
 not visited at all.  Copies of a vector are one point, which keeps the k + 1 smallest of
 its ids, so they neither crowd out others nor split ties, and no hot vector fills a task.
 
-Vectors meet queries as (cell, shard, block of queries) groups of bounded size.
+Vectors meet queries as (cell, shard, block of queries) groups of bounded size, and only
+those groups are made that some query visits.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm._common import durable, name
+from vigil.llm._common import compact, durable, name, small_side
 
 #: Cells of the upper tree at the most, and rows that it is fitted on: both bound what the driver holds.
 MOST_CELLS, SAMPLE_ROWS = 16_384, 50_000
@@ -43,7 +43,6 @@ def chi_square_cdf(x: float, m: int) -> float:
     return 1 - math.exp(-half) * total if half < 700 else 1.0
 
 
-@cache
 def chi_square_quantile(confidence: float, m: int) -> float:
     low, high = 0.0, 10.0 * m + 100
     for _ in range(80):
@@ -117,15 +116,16 @@ def distinct_ids(near: list[tuple[float, int]], query_id: int, k: int) -> list[t
 
 
 def search_shard(
-    ids: list[list[int]], vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, worst: np.ndarray, *, k: int, m: int, seed: int, confidence: float, step: int = 8
+    ids: list[list[int]], vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, worst: np.ndarray, *, k: int, m: int, seed: int, limit: float, step: int = 8
 ) -> tuple[list[tuple[int, int, float]], list[int]]:
     """(query_id, vec_id, score) of up to k neighbours of each query, and how many vectors each query verified.
 
     ``vectors`` are distinct points with their ids; ``worst`` is the cosine of each
-    query's k-th neighbour found elsewhere (-1 if none is known): nothing below it counts.
+    query's k-th neighbour found elsewhere (-1 if none is known): nothing below it counts;
+    ``limit`` is the chi-square quantile of the stopping test.
     """
     norms, at_points = np.sqrt((vectors * vectors).sum(axis=1)), projected(vectors, m, seed)
-    tree, limit = KdTree(at_points), chi_square_quantile(confidence, m)
+    tree = KdTree(at_points)
     out, verified = [], []
     for query_id, query, start, at in zip(query_ids.tolist(), queries, worst.tolist(), projected(queries, m, seed), strict=True):
         norm, bound, near, count = math.sqrt((query * query).sum()), start, [], 0
@@ -194,6 +194,7 @@ def nearest(
     seed: int = 11,
     shard_rows: int = 8192,
     block_queries: int = 2048,
+    broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score, verified: for each query its k nearest by cosine, ties to smaller vec_id.
 
@@ -271,7 +272,7 @@ def nearest(
         query_ids = queries["id"].to_numpy(np.int64)
         found, counts = search_shard(
             [x.tolist() for x in own["ids"]], np.stack(own["v"].to_list()), query_ids, np.stack(queries["v"].to_list()), queries["worst"].to_numpy(),
-            k=k, m=m, seed=seed, confidence=confidence,
+            k=k, m=m, seed=seed, limit=limit,
         )
         rows = [(*x, None) for x in found] + [(i, None, None, c) for i, c in zip(query_ids.tolist(), counts, strict=True)]
         return pd.DataFrame(rows, columns=columns).astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "verified": "Int64"})
@@ -279,11 +280,12 @@ def nearest(
     per_cell = rows.sparkSession.createDataFrame([(int(r.cell), int(s)) for r, s in zip(cells, shards, strict=True)], "cell long, shards long")
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     held = index.join(F.broadcast(per_cell), "cell").select("cell", F.pmod(F.xxhash64("v"), F.col("shards")).alias("shard"), "v", "ids")
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left = held.groupBy("cell", "shard", "block")
 
     def pass_over(queries: DataFrame, home: bool) -> DataFrame:
-        sent = queries.mapInArrow(visits(home), "id long, v array<double>, worst double, cell long, shard long").withColumn("block", block("id"))
+        """A shard goes only to the blocks of queries that visit it."""
+        sent = durable(queries.mapInArrow(visits(home), "id long, v array<double>, worst double, cell long, shard long").withColumn("block", block("id")))
+        visited = compact(sent.select("cell", "shard", "block").distinct())
+        left = held.join(small_side(visited, broadcast_rows), ["cell", "shard"]).groupBy("cell", "shard", "block")
         return left.cogroup(sent.groupBy("cell", "shard", "block")).applyInPandas(search, near_schema)
 
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
