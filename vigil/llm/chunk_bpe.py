@@ -172,7 +172,8 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, key: str = "doc_id", te
 
     ``tokenizer`` is a file of the tokenizers library without a decoder, whose decode
     joins tokens by blanks.  Whole texts; null counts as empty (no ids, empty text);
-    repeated rows are encoded as often as they stand there.
+    repeated rows are encoded as often as they stand there.  Other columns, whatever
+    their names, are not read; an empty table gives no rows.
     """
     full, digest = outputs in ("both", "texts"), outputs in ("both", "digests")
 

@@ -175,7 +175,11 @@ def _filters(old: DataFrame, refs: DataFrame, before: DataFrame | None, shards:
 def build(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, keys_per_shard: int = 50_000
 ) -> LineIndex:
-    """An index of all ``docs``.  A null or empty text has one empty line, which has no key."""
+    """An index of all ``docs``.  A null or empty text has one empty line, which has no key.
+
+    Texts of any length are taken whole; repeated rows are one document; other columns,
+    whatever their names, are not read; an empty table gives an empty index.
+    """
     postings = durable(line_keys(docs, key=key, text=text, min_chars=min_chars)).distinct()
     refs = durable(_count(postings).where(F.col("n") > 1))  # single keys are only in postings
     shards = max(8, -(-refs.where(F.col("n") >= min_docs).count() // keys_per_shard))

@@ -153,6 +153,8 @@ def token_pieces(
 
     Only documents longer than the capacity are cut; all their pieces are full but the
     first, which takes the rest.  A null text counts as empty: its one piece is ``end_id``.
+    Texts of any length are taken whole; repeated rows give their pieces again; other
+    columns, whatever their names, are not read; an empty table gives no rows.
     """
 
     def cut(ids: bytes) -> Iterator[tuple]:
