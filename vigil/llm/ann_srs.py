@@ -284,8 +284,9 @@ def nearest(
     def pass_over(queries: DataFrame, home: bool) -> DataFrame:
         """A shard goes only to the blocks of queries that visit it."""
         sent = durable(queries.mapInArrow(visits(home), "id long, v array<double>, worst double, cell long, shard long").withColumn("block", block("id")))
-        visited = compact(sent.select("cell", "shard", "block").distinct())
-        left = held.join(small_side(visited, broadcast_rows), ["cell", "shard"]).groupBy("cell", "shard", "block")
+        visited = compact(sent.select(F.col("cell").alias("c"), F.col("shard").alias("s"), F.col("block").alias("b")).distinct())
+        met = held.join(small_side(visited, broadcast_rows), (F.col("cell") == F.col("c")) & (F.col("shard") == F.col("s")))
+        left = met.select("cell", "shard", F.col("b").alias("block"), "v", "ids").groupBy("cell", "shard", "block")
         return left.cogroup(sent.groupBy("cell", "shard", "block")).applyInPandas(search, near_schema)
 
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
