@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,26 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+#: Bytes of one row of Spark's bitmap functions.
+_BITMAP_ROW = 4096
+
+
+def bitmap_of(places: DataFrame, bits: int) -> np.ndarray:
+    """The places (column ``place``, from 0, below ``bits``) as a bitmap: at most bits / 32768 rows of 4 kB come to the driver."""
+    at = F.col("place") + 1
+    rows = places.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bitmap = np.zeros(max(bits // 8, _BITMAP_ROW), np.uint8)
+    for r in rows:
+        bitmap[(r.bucket - 1) * _BITMAP_ROW : r.bucket * _BITMAP_ROW] = np.frombuffer(r.bits, np.uint8)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash (its lowest bits are the place) is set."""
+    at = hashes & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def text_blocks(texts, chars: int) -> Iterator[tuple[int, list[str]]]:
     """An Arrow array of texts as (first row, texts) blocks of about ``chars`` characters; null becomes empty."""
     first, held, size = 0, [], 0

@@ -1,10 +1,11 @@
 """Phrase collocations: n-grams counted per language, scored by their weakest cut.
 
-All 1..max_words-grams become rows and are hash-aggregated per language, in three passes
-over the texts, since an n-gram can only be frequent if all that it contains is:
+All 1..max_words-grams become rows and are hash-aggregated per language, in passes over
+the texts, since an n-gram can only be frequent if all that it contains is:
 
 1. words, counted in full (their sum is the language's n);
-2. pairs of frequent words;
+2. pairs of frequent words, first as counters of hash buckets of three bytes or so an
+   entry, then those of the buckets that reach the limit;
 3. longer n-grams, all of whose pairs are frequent.
 
 What is frequent reaches the next pass as a bitmap of hashes of fixed size.  A hash that
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm._common import durable, name, small_side
+from vigil.llm._common import bitmap_of, durable, in_bitmap, name, small_side
 
 #: Characters that end a piece of text; a phrase never crosses one.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -38,7 +39,6 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 END = b"\xff"
 TABLE = bytes.maketrans(string.ascii_uppercase.encode() + ENDS + b"\t", string.ascii_lowercase.encode() + END * len(ENDS) + b" ")
 COUNTS = "lang string, size int, phrase string, n long"
-_BITMAP_BYTES = 4096  # of one row of Spark's bitmap functions
 
 
 def blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[str, bytes]]:
@@ -75,11 +75,6 @@ def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(8 * len(bitmap) - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def rows_of(lang: str, size: int, columns: list[np.ndarray], words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     """A row for each phrase; column i has the number of its i-th word."""
     parts = [words.take(pa.array(c)) for c in columns]
@@ -88,8 +83,8 @@ def rows_of(lang: str, size: int, columns: list[np.ndarray], words: pa.Array, co
     return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), phrase.cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "size", "phrase", "n"])
 
 
-def bitmap_of(frequent: DataFrame, bits: int) -> np.ndarray:
-    """The hashes of (lang, phrase) of one or two words as a bitmap of ``bits`` bits (a power of two): at most bits / 32768 rows of 4 kB come to the driver."""
+def frequent_bits(frequent: DataFrame, bits: int) -> np.ndarray:
+    """The hashes of (lang, phrase) of one or two words as a bitmap of ``bits`` bits (a power of two)."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,14 +92,46 @@ def bitmap_of(frequent: DataFrame, bits: int) -> np.ndarray:
             for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 own = word_hashes(lang, phrase.encode().split(b" "))
                 own = pair_hashes(own[:1], own[1:]) if len(own) == 2 else own
-                found[i] = int(own[0] & np.uint64(bits - 1)) + 1
+                found[i] = int(own[0] & np.uint64(bits - 1))
             yield pa.RecordBatch.from_arrays([pa.array(found)], ["place"])
 
-    placed = frequent.select("lang", "phrase").mapInArrow(places, "place long")
-    rows = placed.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
+    return bitmap_of(frequent.select("lang", "phrase").mapInArrow(places, "place long"), bits)
+
+
+def packed_counts(places: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Places and their counts, equal places summed, as a row for each range of 2^16 places."""
+    if not places:
+        return
+    own, at = np.unique(np.concatenate(places), return_inverse=True)
+    sums = np.bincount(at, np.concatenate(counts)).astype("<u4")
+    ranges, starts = np.unique(own >> np.uint64(16), return_index=True)
+    low = [x.astype("<u2").tobytes() for x in np.split(own & np.uint64(0xFFFF), starts[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int64)), pa.array(low, pa.binary()), pa.array([x.tobytes() for x in np.split(sums, starts[1:])], pa.binary())], ["range", "low", "counts"])
+
+
+def full_buckets(packed: DataFrame, min_count: int, bits: int) -> np.ndarray:
+    """A bitmap of the places whose counts (see ``packed_counts``) sum up to ``min_count``: bits / 65536 rows of 8 kB come to the driver."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(number: int, held: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.packbits(held >= min_count, bitorder="little").tobytes()], pa.binary())], ["range", "bits"])
+
+        at, held = None, None
+        for batch in batches:
+            for number, low, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != at:
+                    if at is not None:
+                        yield row(at, held)
+                    at, held = number, np.zeros(1 << 16, np.int64)
+                held[np.frombuffer(low, "<u2")] += np.frombuffer(counts, "<u4")  # a row has each place once
+        if at is not None:
+            yield row(at, held)
+
+    dealt = packed.repartition("range").sortWithinPartitions("range")
     bitmap = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        bitmap[(r.bucket - 1) * _BITMAP_BYTES : r.bucket * _BITMAP_BYTES] = np.frombuffer(r.bits, np.uint8)
+    for r in dealt.mapInArrow(sums, "range long, bits binary").collect():
+        part = np.frombuffer(r.bits, np.uint8)
+        bitmap[r.range * 8192 : r.range * 8192 + 8192] = part[: len(bitmap) - r.range * 8192]
     return bitmap
 
 
@@ -141,17 +168,34 @@ def phrase_counts(
     totals = first.where("size = 0 and n > 0").select("lang", "n")
     if max_words < 2:
         return words, totals
-    word_bits = spark.sparkContext.broadcast(bitmap_of(words, filter_bits))
+    word_bits = spark.sparkContext.broadcast(frequent_bits(words, filter_bits))
 
     def pairs(own: str, ids: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The places of pairs of frequent words, and the hashes of all words."""
+        """Where pairs of frequent words stand, and the hashes of all words."""
         hashes = word_hashes(own, words)
-        often = holds(word_bits.value, hashes)
+        often = in_bitmap(word_bits.value, hashes)
         often[0] = False
         return np.flatnonzero(often[ids[:-1]] & often[ids[1:]]), hashes
 
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, counts, n = [], [], 0
+        for batch in batches:
+            for own, body in blocks(batch, block_bytes):
+                ids, words = numbered(body)
+                at, hashes = pairs(own, ids, words)
+                found = np.unique(pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]) & np.uint64(filter_bits - 1), return_counts=True)
+                places, counts, n = [*places, found[0]], [*counts, found[1]], n + len(found[0])
+                if n > 4_000_000:
+                    yield from packed_counts(places, counts)
+                    places, counts, n = [], [], 0
+        yield from packed_counts(places, counts)
+
+    packed = rows.mapInArrow(buckets, "range long, low binary, counts binary")
+    full = spark.sparkContext.broadcast(full_buckets(packed, min_count, filter_bits))
+
     def pairs_in(own: str, ids: np.ndarray, words: list[bytes], named: pa.Array) -> Iterator[pa.RecordBatch]:
-        at, _ = pairs(own, ids, words)
+        at, hashes = pairs(own, ids, words)
+        at = at[in_bitmap(full.value, pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]))]
         found, counts = np.unique(ids[at] * len(words) + ids[at + 1], return_counts=True)
         yield rows_of(own, 2, [found // len(words), found % len(words)], named, counts)
 
@@ -159,11 +203,11 @@ def phrase_counts(
     found = words.unionByName(second)
     if max_words < 3:
         return found, totals
-    pair_bits = spark.sparkContext.broadcast(bitmap_of(second, filter_bits))
+    pair_bits = spark.sparkContext.broadcast(frequent_bits(second, filter_bits))
 
     def longer_in(own: str, ids: np.ndarray, words: list[bytes], named: pa.Array) -> Iterator[pa.RecordBatch]:
         at, hashes = pairs(own, ids, words)
-        at = at[holds(pair_bits.value, pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]))]
+        at = at[in_bitmap(pair_bits.value, pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]))]
         often, code = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
         often[at] = True
         code[at] = np.unique(ids[at] * len(words) + ids[at + 1], return_inverse=True)[1]
