@@ -74,7 +74,7 @@ def test_query_matches_definition(spark):
     assert len({x[2] for x in found}) < len(found)
 
 
-@pytest.mark.parametrize("options", [{}, {"task_tokens": 3000, "leaders": 8, "broadcast_rows": 10}, {"task_tokens": 20_000, "leaders": 2}, {"sample_texts": 0}])
+@pytest.mark.parametrize("options", [{}, {"task_tokens": 3000, "leaders": 8, "broadcast_rows": 10}, {"task_tokens": 20_000, "leaders": 2, "filter_bits": 1 << 15}, {"sample_texts": 0}])
 def test_planted_groups_whole_and_in_slices(spark, options):
     rows = list(enumerate(groups(random.Random(5))))
     df = docs(spark, [(d, t, "en", "a", 1) for d, t in rows], clash=True)
@@ -83,6 +83,42 @@ def test_planted_groups_whole_and_in_slices(spark, options):
     assert got(jaccard_trie.components(df, **options)) == expected
 
 
+def test_low_limits_take_single_ngrams(spark):
+    rng = random.Random(9)
+    seed = [f"w{i}" for i in range(40)]
+    texts = [" ".join(seed[: 40 - i] + [f"x{rng.randrange(99)}" for _ in range(i)]) for i in range(0, 39, 3)]
+    df = docs(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    sets, root = [ngrams(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 2 * len(x & sets[j]) >= len(x | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    found = {r.doc_id: r.component_id for r in jaccard_trie.components(df, percent=50).collect()}
+    assert [found[i] for i in range(len(texts))] == [min(k for k, r in enumerate(root) if r == root[i]) for i in range(len(texts))]
+
+
+def test_linked_sets_share_neighbours_in_their_prefixes():
+    rng = np.random.default_rng(7)
+    for percent in (75, 80, 90, 95):
+        linked = 0
+        for _ in range(4000):
+            n = int(rng.integers(1, 150))
+            drop, add = (int(x) for x in rng.integers(0, 2 + n * (100 - percent) // 100, 2))
+            x = rng.choice(10**6, n, replace=False)
+            y = np.union1d(x[min(drop, n - 1) :], rng.choice(10**6, add) + 10**6 if rng.random() < 0.5 else rng.choice(10**6, add))
+            both = len(np.intersect1d(x, y))
+            if set(x.tolist()) == set(y.tolist()) or 100 * both < percent * (len(x) + len(y) - both):
+                continue
+            linked += 1
+            prefixes = [np.sort(s)[: jaccard_trie.prefix_size(len(s), percent)].tolist() for s in (x, y)]
+            shared = set(prefixes[0]) & set(prefixes[1])
+            for s in (x, y):
+                assert len(shared) >= jaccard_trie.least_shared(-(-percent * len(s) // 100), percent)
+            pairs = [set(zip(p, p[1:], strict=False)) for p in prefixes]
+            assert pairs[0] & pairs[1]
+        assert linked > 200
+
+
 def test_odd_rows(spark):
     assert got(jaccard_trie.components(docs(spark, clash=True))) == components([(d[0], d[1]) for d in DOCS])
     assert jaccard_trie.components(docs(spark, [])).count() == 0

@@ -7,7 +7,8 @@ trees only sets apart what cannot be linked.
 1. Sets are ordered by one global order, n-grams that are common in a bounded sample
    last.  Two sets that reach the limit share n-grams within short prefixes of that order;
    sets that share too few of theirs with any other set are alone.
-2. What is left forms pools: sets that share an n-gram of their prefixes, transitively.
+2. What is left forms pools: sets whose prefixes share two neighbours of the order (see
+   ``least_shared``), transitively.
    A pool's sets meet in one task, stored in a trie, most frequent n-gram first, so that
    near copies share one long path.  Every set is held against the trie: paths carry the
    partial overlap, and a subtree is left as soon as the n-grams that remain on either
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm._common import compact, durable, name, small_side
+from vigil.llm._common import bitmap_of, compact, durable, in_bitmap, name, small_side
 from vigil.llm.simhash_mih import connected
 
 SEED = 42
@@ -55,15 +56,25 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.sort(np.fromiter((hashed(x, SEED) for x in own), np.uint64, len(own)))
 
 
-def prefix_sizes(n: int, percent: int) -> tuple[int, int, int]:
-    """(places of the first shared n-gram, prefix length, n-grams shared within prefixes at the least) for a set of ``n``.
+#: From this limit on, linked sets share two neighbours of the order (below it, one n-gram).
+NEIGHBOURS = 75
 
-    Sets of n and m that reach the limit share at least p % of the larger one, so the first
-    l that they share lie in the first n - ceil(p n / 100) + l places of either.  l is taken
-    as large as the first place's prefix; the smaller set of a pair has no less than p % of n.
+
+def least_shared(n, percent: int):
+    """How many n-grams, and so far as the order goes, two sets share within their prefixes (``prefix_size``) if the smaller has ``n``.
+
+    Linked sets differ in at most k = n (100 - p) / p n-grams, each of which parts two shared
+    ones that would be neighbours in its set's order: of the first k + 2 that they share, two
+    are neighbours in both.  Below ``NEIGHBOURS`` % sets need not share so many.
     """
-    first = lambda x: x - -(-percent * x // 100) + 1
-    return first(n), min(n, 2 * first(n) - 1), first(-(-percent * n // 100))
+    if isinstance(n, Column):
+        return F.floor(n * (100 - percent) / percent).cast("long") + 2 if percent >= NEIGHBOURS else n - F.ceil(percent * n / 100).cast("long") + 1
+    return n * (100 - percent) // percent + 2 if percent >= NEIGHBOURS else n - -(-percent * n // 100) + 1
+
+
+def prefix_size(n: int, percent: int) -> int:
+    """Places of the order that hold the first ``least_shared`` n-grams that a set of ``n`` shares with a linked one: all but p % of it can come before the last."""
+    return min(n, n - -(-percent * n // 100) + least_shared(n, percent))
 
 
 class Trie:
@@ -170,9 +181,23 @@ class Trie:
 
 
 def forest(nodes: list, sets: list[np.ndarray], labels: list, asked: list[bool], percent: int) -> list[tuple]:
-    """Links (pairs of ``nodes``) among distinct sets that start in components ``labels``; only ``asked`` sets are held against the rest."""
+    """Links (pairs of ``nodes``) among sets that start in components ``labels``; only ``asked`` sets are held against the rest."""
     if len(nodes) < 2 or not any(asked):
         return []
+    firsts, equal = {}, []
+    for i, own in enumerate(sets):
+        at = firsts.setdefault(own.tobytes(), i)
+        if at != i:
+            equal.append((at, i))
+    if equal:  # equal sets are one path of a trie
+        links, labels, asked = [], list(labels), list(asked)
+        for at, i in equal:
+            if labels[at] != labels[i]:
+                links.append((nodes[at], nodes[i]))
+                labels = [labels[at] if x == labels[i] else x for x in labels]
+            asked[at] |= asked[i]
+        own = list(firsts.values())
+        return links + forest([nodes[i] for i in own], [sets[i] for i in own], [labels[i] for i in own], [asked[i] for i in own], percent)
     if len(nodes) == 2:
         n, both = len(sets[0]) + len(sets[1]), len(np.intersect1d(*sets, assume_unique=True))
         return [tuple(nodes)] if labels[0] != labels[1] and (100 + percent) * both >= percent * n else []
@@ -208,9 +233,74 @@ def common_ngrams(texts: DataFrame, size: int, sample_texts: int, most: int) ->
     return tokens[order], counts[order]
 
 
+def hub_pairs(held: DataFrame, by: str) -> DataFrame:
+    """a, b: every ``nid`` with the smallest one that shares a value of ``by`` with it."""
+    hubs = held.groupBy(by).agg(F.min("nid").alias("a"), F.max("nid").alias("high")).where("a <> high").select(by, "a")
+    return held.join(hubs, by).where("a <> nid").select("a", F.col("nid").alias("b")).distinct()
+
+
+def pools_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``nodes`` that are in any pair, with pool: what pairs (a, b of nid) connect."""
+    roots = connected(pairs)
+    pools = durable(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("id"), F.col("root").alias("pool")))
+    return durable(nodes.join(pools, F.col("nid") == F.col("id")).drop("id"))
+
+
+def pool_roots(pooled: DataFrame, sets: DataFrame, percent: int, *, task_tokens: int = 2_000_000, leaders: int = 512, broadcast_rows: int = 200_000) -> DataFrame:
+    """node, root: components of the links at ``percent`` % among the sets of each pool (roots and single nodes have no row).
+
+    ``pooled``: node, nid (a hash of it), n, pool; ``sets``: node, own (distinct hashes, not empty).
+    """
+    # Where each set goes: the whole pool is one task's, or its sizes' classes are cut into slices.
+    pooled = pooled.select("node", "nid", "n", "pool")
+    whole = pooled.groupBy("pool").agg((F.sum("n") > task_tokens).alias("large"))
+    class_of = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))).otherwise(0).cast("long")
+    placed = durable(pooled.join(whole, "pool").withColumn("class", class_of))
+    classes = placed.groupBy("pool", "class").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max("large").alias("large"))
+    classes = compact(classes.select("pool", "class", "k", "total", "large", F.when(F.col("large"), F.ceil(F.col("total") / task_tokens)).otherwise(1).cast("long").alias("slices")))
+    share = lambda salt, parts: F.pmod(F.xxhash64("nid", F.lit(salt)), parts)
+    rows = placed.drop("large").join(small_side(classes, broadcast_rows), ["pool", "class"]).withColumn("slice", share(1, F.col("slices")))
+    rows = durable(rows.join(sets, "node").select("node", "nid", "n", "own", "pool", "class", "slice", "large", "k", "total"))
+
+    def joined(part: pa.Table) -> pa.Table:
+        found = {}
+        for node, label, asked, own in zip(*(part.column(c) for c in ("node", "label", "asked")), part.column("own"), strict=True):
+            held = found.get(node.as_py())
+            found[node.as_py()] = (label.as_py(), asked.as_py() or bool(held and held[1]), held[2] if held else own.values.to_numpy().view(np.uint64))
+        links = forest(list(found), [x[2] for x in found.values()], [x[0] for x in found.values()], [x[1] for x in found.values()], percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.string()), "b": pa.array([x for _, x in links], pa.string())})
+
+    by = ["pool", "class", "slice", "other_class", "other_slice"]
+    none = [F.lit(-1).cast("long").alias("other_class"), F.lit(-1).cast("long").alias("other_slice")]
+    own = rows.select("pool", "class", "slice", *none, "node", F.col("node").alias("label"), F.lit(True).alias("asked"), "own")
+    split = classes.where("large").select("pool", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    large = not split.isEmpty()
+    if large:
+        chosen = F.least(F.lit(leaders), F.ceil(task_tokens * F.col("k") / (2 * F.col("total"))))
+        heads = rows.where(F.col("large") & (share(2, F.col("k")) < chosen)).select("pool", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "node", "own")
+        own = own.unionByName(heads.join(split, ["pool", "class"]).select("pool", "class", "slice", *none, "node", F.col("node").alias("label"), F.lit(True).alias("asked"), "own"))
+    edges = durable(own.groupBy(*by).applyInArrow(joined, "a string, b string"))
+    roots = connected(edges)
+    if large:
+        at = small_side(compact(roots.withColumnRenamed("node", "at")), broadcast_rows)  # with a broadcast no set moves again before its groups
+        known = rows.where("large").join(at, F.col("node") == F.col("at"), "left").select("pool", "class", "slice", "node", "nid", "n", "own", F.coalesce("root", "node").alias("label"))
+        sizes = known.groupBy("pool", "label").agg(F.count("*").alias("k")).groupBy("pool").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+        rest = known.join(small_side(compact(sizes), broadcast_rows), "pool").where("label <> main").drop("main")
+        blocks = compact(rest.groupBy("pool", "class").agg(F.ceil(F.sum("n") / task_tokens).cast("long").alias("blocks")))
+        rest = rest.drop("slice").join(small_side(blocks, broadcast_rows), ["pool", "class"]).select("pool", F.col("class").alias("other_class"), share(3, F.col("blocks")).alias("other_slice"), "node", "label", "own")
+        meet = rest.select("pool", "other_class", "other_slice").distinct().withColumn("class", F.explode(F.array(*[F.col("other_class") + i for i in (-1, 0, 1)])))
+        meet = small_side(compact(meet.join(split, ["pool", "class"])), broadcast_rows)
+        asked = rest.join(meet, ["pool", "other_class", "other_slice"]).withColumn("asked", F.lit(True))
+        held = known.join(meet, ["pool", "class", "slice"]).withColumn("asked", F.lit(False))
+        columns = [*by, "node", "label", "asked", "own"]
+        more = asked.select(*columns).unionByName(held.select(*columns)).groupBy(*by).applyInArrow(joined, "a string, b string")
+        roots = connected(durable(edges.unionByName(more)))
+    return roots
+
+
 def components(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, sample_texts: int = 20_000, most_common: int = 500_000,
-    task_tokens: int = 2_000_000, leaders: int = 512, broadcast_rows: int = 200_000,
+    task_tokens: int = 2_000_000, leaders: int = 512, broadcast_rows: int = 200_000, filter_bits: int = 1 << 28,
 ) -> DataFrame:
     """doc_id, n_shingles (distinct n-grams), component_id (smallest doc_id reachable over links), a row for each row of ``docs``.
 
@@ -239,7 +329,7 @@ def components(
                 weight = np.where(tokens[at] == own, counts[at], 0) if len(tokens) else np.zeros(len(own), int)
                 nodes.append(digest(own))
                 sizes.append(len(own))
-                prefixes.append(own[np.lexsort((own, weight))][: prefix_sizes(len(own), percent)[1]] if len(own) else own)
+                prefixes.append(own[np.lexsort((own, weight))][: prefix_size(len(own), percent)] if len(own) else own)
             ids = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)[:, 0]
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
@@ -254,76 +344,43 @@ def components(
     fields = {"copy": T.StringType(), "node": T.StringType(), "nid": T.LongType(), "n": T.LongType(), "prefix": T.ArrayType(T.LongType())}
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), *(T.StructField(c, t) for c, t in fields.items())])
     prints = durable(source.select("doc_id", "copy", "text").mapInArrow(signed, schema))
-    first = lambda n: n - F.ceil(percent * n / 100).cast("long") + 1
-    least = F.ceil(percent * F.col("n") / 100).cast("long")
+    needed = least_shared(F.ceil(percent * F.col("n") / 100).cast("long"), percent)  # with the smallest set that can match
+
+    # Sets that share enough of their prefix with others: first as a bitmap of fixed size knows it, which lets some more
+    # through (all of them, where it is full) and sends no set anywhere, then exactly; what leaves may leave others alone.
+    places = prints.select(F.explode("prefix").alias("token")).select(F.col("token").bitwiseAND(F.lit(filter_bits - 1)).cast("int").alias("place"))
+    shared = places.groupBy("place").agg(F.count("*").alias("c")).where("c > 1")
+    bits = spark.sparkContext.broadcast(bitmap_of(shared.select(F.col("place").cast("long").alias("place")), filter_bits))
 
-    # Sets that share enough of their prefix with others; what leaves may leave others alone.
-    nodes = prints.where("n > 0").groupBy("node").agg(F.first("nid").alias("nid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("copy").alias("copy"))
+    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, needed = batch.column(3), batch.column(5).to_numpy()
+            ends, flat = prefix.offsets.to_numpy(), prefix.values.to_numpy().view(np.uint64)
+            held = np.cumsum(np.r_[0, in_bitmap(bits.value, flat)])
+            yield batch.filter(pa.array(held[ends[1:]] - held[ends[:-1]] >= needed))
+
+    likely = prints.where("n > 0").select("node", "nid", "n", "prefix", "copy", needed.alias("needed"))
+    likely = likely.mapInArrow(sharing, likely.schema)
+    nodes = likely.groupBy("node").agg(F.first("nid").alias("nid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("copy").alias("copy"))
     before = None
     while True:
         tokens = nodes.select("nid", F.explode("prefix").alias("token"))
         shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
         enough = tokens.join(shared, "token").groupBy("nid").agg(F.count("*").alias("c"))
-        nodes = durable(nodes.join(enough.withColumnRenamed("nid", "id"), (F.col("nid") == F.col("id")) & (F.col("c") >= first(least))).select("node", "nid", "n", "prefix", "copy"))
+        nodes = durable(nodes.join(enough.withColumnRenamed("nid", "id"), (F.col("nid") == F.col("id")) & (F.col("c") >= needed)).select("node", "nid", "n", "prefix", "copy"))
         left = nodes.count()
         if not left or (before is not None and left > 0.9 * before):
             break
         before = left
 
-    tokens = nodes.select("nid", F.explode(F.slice("prefix", F.lit(1), first(F.col("n")).cast("int"))).alias("token"))
-    hubs = tokens.groupBy("token").agg(F.min("nid").alias("a"), F.max("nid").alias("high")).where("a <> high").select("token", "a")
-    met = tokens.join(hubs, "token").where("a <> nid").select("a", F.col("nid").alias("b")).distinct()
-    pools = connected(met)
-    pools = durable(pools.unionByName(pools.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("id"), F.col("root").alias("pool")))
-    pooled = durable(nodes.join(pools, F.col("nid") == F.col("id")).select("node", "nid", "n", "copy", "pool"))
+    keys = F.col("prefix")
+    if percent >= NEIGHBOURS:
+        keys = F.transform(F.slice(keys, F.lit(1), F.size(keys) - 1), lambda x, i: F.xxhash64(x, F.get("prefix", i + 1)))
+    pooled = pools_of(nodes.select("node", "nid", "n", "copy"), hub_pairs(nodes.select("nid", F.explode(keys).alias("key")), "key"))
     wanted = compact(pooled.select(F.col("copy").alias("want")).distinct())
     texts = source.join(small_side(wanted, broadcast_rows), F.col("copy") == F.col("want"), "left_semi").select("text")
     sets = texts.mapInArrow(sets_of, "node string, own array<bigint>").dropDuplicates(["node"])
-
-    # Where each set goes: the whole pool is one task's, or its sizes' classes are cut into slices.
-    whole = pooled.groupBy("pool").agg((F.sum("n") > task_tokens).alias("large"))
-    class_of = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))).otherwise(0).cast("long")
-    placed = durable(pooled.join(whole, "pool").withColumn("class", class_of).drop("copy"))
-    classes = placed.groupBy("pool", "class").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max("large").alias("large"))
-    classes = compact(classes.select("pool", "class", "k", "total", "large", F.when(F.col("large"), F.ceil(F.col("total") / task_tokens)).otherwise(1).cast("long").alias("slices")))
-    share = lambda salt, parts: F.pmod(F.xxhash64("nid", F.lit(salt)), parts)
-    rows = placed.drop("large").join(small_side(classes, broadcast_rows), ["pool", "class"]).withColumn("slice", share(1, F.col("slices")))
-    rows = durable(rows.join(sets, "node").select("node", "nid", "n", "own", "pool", "class", "slice", "large", "k", "total"))
-
-    def joined(part: pa.Table) -> pa.Table:
-        found = {}
-        for node, label, asked, own in zip(*(part.column(c) for c in ("node", "label", "asked")), part.column("own"), strict=True):
-            held = found.get(node.as_py())
-            found[node.as_py()] = (label.as_py(), asked.as_py() or bool(held and held[1]), held[2] if held else own.values.to_numpy().view(np.uint64))
-        links = forest(list(found), [x[2] for x in found.values()], [x[0] for x in found.values()], [x[1] for x in found.values()], percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.string()), "b": pa.array([x for _, x in links], pa.string())})
-
-    by = ["pool", "class", "slice", "other_class", "other_slice"]
-    none = [F.lit(-1).cast("long").alias("other_class"), F.lit(-1).cast("long").alias("other_slice")]
-    own = rows.select("pool", "class", "slice", *none, "node", F.col("node").alias("label"), F.lit(True).alias("asked"), "own")
-    split = classes.where("large").select("pool", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
-    large = not split.isEmpty()
-    if large:
-        chosen = F.least(F.lit(leaders), F.ceil(task_tokens * F.col("k") / (2 * F.col("total"))))
-        heads = rows.where(F.col("large") & (share(2, F.col("k")) < chosen)).select("pool", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "node", "own")
-        own = own.unionByName(heads.join(split, ["pool", "class"]).select("pool", "class", "slice", *none, "node", F.col("node").alias("label"), F.lit(True).alias("asked"), "own"))
-    edges = durable(own.groupBy(*by).applyInArrow(joined, "a string, b string"))
-    roots = connected(edges)
-    if large:
-        at = roots.withColumnRenamed("node", "at")
-        known = rows.where("large").join(at, F.col("node") == F.col("at"), "left").select("pool", "class", "slice", "node", "nid", "n", "own", F.coalesce("root", "node").alias("label"))
-        known = durable(known)
-        sizes = known.groupBy("pool", "label").agg(F.count("*").alias("k")).groupBy("pool").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-        rest = known.join(sizes, "pool").where("label <> main").drop("main")
-        blocks = rest.groupBy("pool", "class").agg(F.ceil(F.sum("n") / task_tokens).cast("long").alias("blocks"))
-        rest = durable(rest.drop("slice").join(blocks, ["pool", "class"]).select("pool", F.col("class").alias("other_class"), share(3, F.col("blocks")).alias("other_slice"), "node", "label", "own"))
-        meet = rest.select("pool", "other_class", "other_slice").distinct().withColumn("class", F.explode(F.array(*[F.col("other_class") + i for i in (-1, 0, 1)])))
-        meet = compact(meet.join(split, ["pool", "class"]))
-        asked = rest.join(meet, ["pool", "other_class", "other_slice"]).withColumn("asked", F.lit(True))
-        held = known.join(meet, ["pool", "class", "slice"]).withColumn("asked", F.lit(False))
-        columns = [*by, "node", "label", "asked", "own"]
-        more = asked.select(*columns).unionByName(held.select(*columns)).groupBy(*by).applyInArrow(joined, "a string, b string")
-        roots = connected(durable(edges.unionByName(more)))
+    roots = pool_roots(pooled, sets, percent, task_tokens=task_tokens, leaders=leaders, broadcast_rows=broadcast_rows)
 
     named = prints.select("doc_id", F.col("n").alias("n_shingles"), "node").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +154,13 @@ def connected(edges: DataFrame) -> DataFrame:
     end when a round changes nothing (about log of the longest chain).
     """
 
+    def pair(u: str, v: str) -> Column:
+        return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
+    def each(e: DataFrame, *pairs: Column) -> DataFrame:
+        """u, v of every pair that is not null, in one reading of ``e``."""
+        return e.select(F.explode(F.array_compact(F.array(*pairs))).alias("x")).select("x.u", "x.v")
+
     def lowest(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
@@ -166,13 +173,10 @@ def connected(edges: DataFrame) -> DataFrame:
     u, v = F.greatest("a", "b"), F.least("a", "b")
     e, seen = kept(edges.select(u.alias("u"), v.alias("v")).where("u <> v").distinct())
     while seen[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = each(e, pair("u", "v"), pair("v", "u"))
         large = both.join(lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = large.join(lowest(large), "u")
-        e, now = kept(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(),
-            seen[0],
-        )
+        e, now = kept(each(small, F.when(F.col("v") != F.col("m"), pair("v", "m")), pair("u", "m")).distinct(), seen[0])
         if now == seen:
             break
         seen = now
@@ -186,7 +190,9 @@ def near_duplicates(
 
     Fewer words than a shingle: the whole sequence is hashed; no words (null or blank
     text): fingerprint zero, linked like any other.  A null doc_id never names a
-    component unless all of its component's are null.  An empty table gives no rows.
+    component unless all of its component's are null.  Repeated rows are one node and get
+    a row each; texts of any length are taken whole; other columns, whatever their names,
+    are not read.  An empty table gives no rows.
     """
     prints = durable(fingerprints(docs, key=key, text=text, words_in_shingle=words_in_shingle))
     classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
