@@ -53,8 +53,8 @@ def test_dense_and_mixed_groups_against_all_pairs(spark):
     rows += [(5000, None), (5001, " "), (5002, "a b"), (5003, "A  B"), (5004, "a c")]
     df = docs(spark, [(d, t, "en", "a", 1) for d, t in rows], clash=True)
     expected = components(rows)
-    for rounds in (0, 3):
-        got = {r.doc_id: r.component_id for r in near_copies.components(df, rounds=rounds, broadcast_rows=50).collect()}
+    for tasks in ({}, {"task_tokens": 9000, "leaders": 4}):
+        got = {r.doc_id: r.component_id for r in near_copies.components(df, broadcast_rows=50, **tasks).collect()}
         assert got == expected
     assert 2 < len({c for d, c in expected.items() if d >= 122 and d < 183}) < 61 or len(set(expected.values())) > 10
 

@@ -4,17 +4,15 @@ Texts that differ in ASCII case and white space only are one node.  A link joins
 whose sets of shingles reach the similarity limit, exactly.  Who is compared:
 
 1. SimHash links by multi-index hashing (``simhash_mih``), a spanning forest of the
-   fingerprints within a few bits.  They settle dense groups of light edits, but a pair
-   at similarity 0.8 differs in about 10 of 64 bits, which no table of segments finds.
+   fingerprints within a few bits.  They propose light edits, but a pair at similarity
+   0.8 differs in about 10 of 64 bits, which no table of segments finds.
 2. So MinHash bands propose the rest: 24 bands of 5 hashes miss a pair at 0.8 with
-   probability 0.00007.  A band key does not compare all its nodes with each other: every
-   node is compared with one leader of its keys.
-3. Nodes that still share a key with another component meet under their rarest shingles
-   (prefix filter with places), which is complete: no pair at the limit among them is
-   left out, and variants that are too far apart hardly make pairs.  In a few rounds a
-   node is compared with the leaders of its shingles; then nodes still in different
-   components are all compared, so n nodes that share a rare shingle and yet no leader
-   cost n squared comparisons.
+   probability 0.00007.
+
+Nodes that proposals connect form a pool.  A pool's sets meet in prefix trees
+(``jaccard_trie``), which find a spanning forest of the links among all of them: no pair
+of a pool is left out, none is emitted that is connected already, and no pair is a row
+of a join.
 """
 
 from __future__ import annotations
@@ -29,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm._common import SPACE, ascii_lower, compact, durable, name, small_side
-from vigil.llm.simhash_mih import connected, fingerprint_of, links
+from vigil.llm.jaccard_trie import hub_pairs, pool_roots, pools_of
+from vigil.llm.simhash_mih import fingerprint_of, links
 
 SEED = 42
 #: Shingles that are permuted at once.
@@ -66,43 +65,9 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(own.tobytes(), i) for i, own in enumerate(signature)], np.uint64).view(np.int64)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int, pairs_per_task: int = 1000, broadcast_rows: int = 200_000) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (``sets``: node, own) reach the limit; a node in many pairs is dealt to many tasks."""
-    slots = compact(pairs.groupBy("a").agg(F.ceil(F.count("*") / pairs_per_task).cast("int").alias("slots")))
-    dealt = pairs.join(small_side(slots, broadcast_rows), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"))
-    x = sets.join(slots, F.col("node") == F.col("a")).select("a", F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
-    y = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    alike = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    return dealt.join(x, ["a", "slot"]).join(y, "b").where(alike).select("a", "b")
-
-
-def enough(i: str, j: str, m: str, n: str, percent: int) -> Column:
-    """Whether the shared shingles that may be left, counted in both sets, still reach the limit."""
-    return (100 + percent) * F.least(i, j) >= percent * (F.col(m) + F.col(n))
-
-
-def prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, n, word, left: the shingles under which any pair of ``nodes`` that can reach the limit meets.
-
-    A set's shingles are ordered by how many sets of ``nodes`` hold them, rarest first;
-    ``left`` counts those from this one on.  Two sets of m and n that reach the limit
-    share at least p / (100 + p) of m + n, so at the first shingle that they share at
-    least that many are left in both.  Variants of one text that are too far apart have
-    rare shingles up to there, hence make no pair.
-    """
-    held = compact(nodes.join(sets, "node").select("node", F.size("own").cast("long").alias("n"), F.explode("own").alias("word")))
-    known = held.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word", F.struct("c", "word").alias("at"))
-    ordered = held.join(known, "word").groupBy("node", "n").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    alone = F.col("n") - F.size("at")  # shingles of this set only come first, and make no pair
-    places = (F.floor((100 - percent) * F.col("n") / 100) + 1 - alone).cast("int")
-    reach = ordered.where(places > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("at", F.lit(1), places)).alias("i", "at"))
-    return compact(reach.select("node", "n", F.col("at.word").alias("word"), (F.col("n") - F.col("alone") - F.col("i")).alias("left")))
-
-
 def components(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, max_distance: int = 4, bands: int = 24, rows: int = 5,
-    rounds: int = 2, leaders: int = 8, broadcast_rows: int = 200_000,
+    broadcast_rows: int = 200_000, **tasks: int,
 ) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over links, a row for each row of ``docs``.
 
@@ -136,71 +101,19 @@ def components(
     fields = {"node": T.StringType(), "n": T.LongType(), "fp": T.LongType(), "keys": T.ArrayType(T.LongType())}
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), *(T.StructField(c, t) for c, t in fields.items())])
     prints = durable(source.select("doc_id", "node", "body").mapInArrow(signed, schema))
-    nodes = compact(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    # Nodes by band key, for keys that more than one node has.
-    met = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    shared = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    met = compact(met.join(shared, "key"))
-    # Fingerprints and their links, as pairs of nodes: each fingerprint's smallest node stands for it.
-    first = compact(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("c")))
-    same = nodes.join(first.where("c > 1"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    nodes = prints.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = compact(nodes.withColumn("nid", F.xxhash64("node")))
+    # Pairs of hashes of nodes: what shares a band key or a fingerprint, and fingerprints that SimHash links.
+    first = compact(nodes.groupBy("fp").agg(F.min("nid").alias("hub")))
     near = links(first.select("fp"), max_distance=max_distance).select(F.col("a").alias("f"), F.col("b").alias("g"))
-    near = near.join(first.select(F.col("fp").alias("f"), F.col("a")), "f").join(first.select(F.col("fp").alias("g"), F.col("a").alias("b")), "g")
-
-    def fits(m: Column, n: Column) -> Column:
-        return 100 * F.least(m, n) >= percent * F.greatest(m, n)
-
-    def with_leader(rest: DataFrame, turn: int) -> DataFrame:
-        """For every node one pair: of its keys' leaders in other components the one that most keys share."""
-        lead = F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", F.lit(turn)))
-        apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), lead.alias("lead")).where("low <> high")
-        rest = rest.join(small_side(compact(apart.select(F.col("key").alias("k"), "lead")), broadcast_rows), F.col("key") == F.col("k"))
-        rest = rest.where((F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n")))
-        first = F.min_by(F.col("lead.node"), F.xxhash64(F.col("lead.node"), F.lit(turn)))
-        return rest.groupBy(F.col("node").alias("b")).agg(first.alias("a")).select("a", "b")
-
-    near = near.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a"))  # one pair a node
-    tested = compact(near.select("a", "b").unionByName(same).unionByName(with_leader(met.withColumn("root", F.col("node")), 0)).distinct())
-    wanted = met.select("node").unionByName(tested.select(F.col("a").alias("node"))).unionByName(tested.select(F.col("b").alias("node"))).distinct()
-    wanted = compact(wanted.withColumnRenamed("node", "want"))
+    near = near.join(first.select(F.col("fp").alias("f"), F.col("hub").alias("a")), "f").join(first.select(F.col("fp").alias("g"), F.col("hub").alias("b")), "g")
+    alike = F.explode(F.concat("keys", F.array(F.xxhash64("fp", F.lit("fingerprint"))))).alias("key")
+    pairs = durable(hub_pairs(nodes.select("nid", alike), "key")).unionByName(durable(near.select("a", "b")))
+    pooled = pools_of(nodes.select("node", "nid", "n"), pairs)
+    wanted = compact(pooled.select(F.col("node").alias("want")))
     held = source.select("node", "body").join(small_side(wanted, broadcast_rows), F.col("node") == F.col("want"), "left_semi")
-    sets = compact(held.dropDuplicates(["node"]).mapInArrow(sets_of, "node string, own array<bigint>"))
-    edges = compact(similar(tested, sets, percent, broadcast_rows=broadcast_rows))
-    roots = connected(edges)
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        return rows.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node")).drop("at")
-
-    def still_open(rows: DataFrame, by: str, *more: Column) -> DataFrame:
-        found = rows.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high"), *more).where("low <> high")
-        return found.withColumnRenamed(by, "k").drop("low", "high")
-
-    rest = rooted(met)
-    rest = rest.join(still_open(rest, "key"), F.col("key") == F.col("k"), "left_semi").select("node").distinct()
-    reach = prefixes(compact(rest), sets, percent)
-    for turn in range(1, rounds + 2):
-        now = compact(rooted(reach))
-        order = F.when(enough("left", "left", "n", "n", percent), F.xxhash64("node", "word", F.lit(turn)))  # may lead sets of its size
-        heads = compact(still_open(now, "word", F.min_by(F.struct("node", "root", "n", "left"), order).alias("lead")))
-        now = now.join(small_side(heads, broadcast_rows), F.col("word") == F.col("k"))
-        if turn <= rounds:
-            now = now.where((F.col("root") != F.col("lead.root")) & enough("lead.left", "left", "lead.n", "n", percent))
-            some = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("lead.node", F.lit(turn)), F.col("lead.node").alias("a")))), 1, leaders)
-            pairs = now.groupBy(F.col("node").alias("b")).agg(some.alias("some")).select(F.explode("some.a").alias("a"), "b")
-        else:  # what no leader has joined
-            now = compact(now.select("node", "root", "n", "word", "left"))
-            x, y = now.alias("x"), now.alias("y")
-            both = (F.col("x.word") == F.col("y.word")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-            pairs = x.join(y, both & enough("x.left", "y.left", "x.n", "y.n", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = compact(pairs)
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        new = compact(similar(pairs, sets, percent, broadcast_rows=broadcast_rows))
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            roots = connected(edges)
+    sets = held.dropDuplicates(["node"]).mapInArrow(sets_of, "node string, own array<bigint>")
+    roots = pool_roots(pooled, sets, percent, broadcast_rows=broadcast_rows, **tasks)
 
     named = prints.select("doc_id", "node").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
