@@ -15,5 +15,5 @@ def test_limit_does_not_grow_with_the_source(spark):
     for i in text:
         gone = i < 30 or i >= 2000
         assert out[i] == (text[i].removeprefix(LINE + "\n") if gone else text[i]), i
-    spread = line_quality.judge_lines(docs(spark, rows), broadcast_hosts=0, broadcast_lines=0)
+    spread = line_quality.judge_lines(docs(spark, rows), broadcast_keys=0, broadcast_lines=0)
     assert {r.doc_id: r.clean_text for r in spread.collect()} == out

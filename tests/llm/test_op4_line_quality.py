@@ -50,7 +50,7 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
     assert all(out[i].kept and out[i].n_removed_lines == 1 and out[i].n_left_words == 60 for i in range(60))
     assert not out[100].kept and out[100].n_removed_lines == 6 and out[100].clean_text == "one more line"
     assert all(out[200 + i].kept and out[200 + i].n_removed_lines == 0 for i in range(60))
-    same = line_quality.judge_lines(docs(spark, rows), broadcast_hosts=0)
+    same = line_quality.judge_lines(docs(spark, rows), broadcast_keys=0)
     assert {r.doc_id: r.kept for r in same.collect()} == {k: r.kept for k, r in out.items()}
 
 

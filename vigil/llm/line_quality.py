@@ -122,7 +122,7 @@ def judge_lines(
     host: str = "source",
     min_docs: int = 20,
     min_left: float = 0.2,
-    broadcast_hosts: int = 5_000,
+    broadcast_keys: int = 500_000,
     broadcast_lines: int = 200_000,
 ) -> DataFrame:
     """All columns of ``df`` plus clean_text, n_removed_lines, n_left_words, the base columns, base_failed and kept.
@@ -146,7 +146,8 @@ def judge_lines(
         name(host).cast("string").alias("at"),
     )
     same = F.col("at").eqNullSafe(F.col("host")) & (digest(F.col("body")) == F.col("doc"))
-    rows = rows.join(small_side(lines, broadcast_hosts), same, "left")
+    keys = lines.agg(F.coalesce(F.sum(F.size("frequent")), F.lit(0))).first()[0]
+    rows = rows.join(F.broadcast(lines) if keys <= broadcast_keys else lines, same, "left")  # beyond the bound the texts are shuffled
     none = F.array().cast("array<string>")
     rows = rows.withColumn("keys", line_keys(F.col("body"))).withColumn("frequent", F.coalesce("frequent", none))
     gone = lambda i: F.coalesce(F.array_contains(F.col("frequent"), F.get(F.col("keys"), i)), F.lit(False))
