@@ -146,3 +146,10 @@ def test_stream_drops_repeats(spark, tmp_path):
     run = log.writeStream.format("memory").queryName("unique_signals").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("unique_signals").count() == 1
+
+
+def test_risk_is_summed_term_by_term(spark):
+    """At a threshold the last bit of the sum decides: 0.3 in this order, just below it in any other."""
+    kinds = "affectedness string, reachability string, exploitation string, control_status string, criticality string, cvss double, epss double, control_effectiveness double"
+    rows = [("affected", "partially_reachable", "theoretical", "partially_mitigated", "low", c, e, 0.8) for c, e in ((1.2, 0.88), (1.4, 0.86), (4.6, 0.54), (5.0, 0.5))]
+    assert {(r.action, r.confidence) for r in assets.decide_pairs(spark.createDataFrame(rows, kinds)).collect()} == {("monitor", 0.6)}

@@ -132,9 +132,14 @@ def composite_score(cvss: Column, epss: Column, kev: Column, poc: Column, msf: C
     return F.round(0.25 * cvss / 10 + 0.30 * epss + 0.15 * kev + 0.15 * poc + 0.10 * msf + 0.05 * F.least(count / 3, F.lit(1.0)), 4)
 
 
-def risk_score(cvss: Column, epss: Column, ml: Column, reachability: Column, control: Column, effectiveness: Column) -> Column:
+def risk_score(cvss: Column, epss: Column, ml: Column | None, reachability: Column, control: Column, effectiveness: Column) -> Column:
+    """Terms are added one by one from the left where there is no model: a last bit decides at a threshold."""
     scaled = F.least(cvss / 10, F.lit(1.0))
-    base = 0.3 * scaled + 0.3 * epss + F.when(ml.isNotNull(), 0.3 * ml).otherwise(0.15 * scaled + 0.15 * epss)
+    base = 0.3 * scaled + 0.3 * epss
+    if ml is None:
+        base = base + 0.15 * scaled + 0.15 * epss
+    else:
+        base = base + F.when(ml.isNotNull(), 0.3 * ml).otherwise(0.15 * scaled + 0.15 * epss)
     base = base + F.when(reachability == "reachable", 0.10).when(reachability == "partially_reachable", 0.05).otherwise(0.0)
     damped = F.when(control == "fully_mitigated", base * 0.3).when(control == "partially_mitigated", base * (1 - 0.5 * effectiveness)).otherwise(base)
     return F.least(damped, F.lit(1.0))
