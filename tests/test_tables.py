@@ -207,3 +207,18 @@ def test_percentiles_without_a_groups_buffer(spark):
     expected = {r.g: r.p for r in df.where("x is not null").groupBy("g").agg(F.percentile("x", shares).alias("p")).collect()}
     assert {r.g: r.percentiles for r in found.collect()} == expected
     assert "percentile(" not in found._jdf.queryExecution().toString()
+
+
+def test_written_pages_are_read_whole_whatever_their_places(spark, tmp_path):
+    """Places with gaps, beyond a severity's total, and several pages in one file in any order."""
+    rows = spark.range(40).select(F.when(F.col("id") % 4 == 0, "HIGH").otherwise("LOW").alias("severity"), (F.col("id") * 10).alias("place"), F.format_string('{"cve":{"id":"C%d"}}', "id").alias("record"))
+    recorded.write_pages(rows.repartition(3), str(tmp_path / "pages"), page_size=70)
+    found = recorded.PageProvider(str(tmp_path / "pages")).pages(spark)
+    for severity, ids in (("HIGH", range(0, 40, 4)), ("LOW", [i for i in range(40) if i % 4])):
+        got = plain(found.where(F.col("severity") == severity).select("place", "total_results", F.get_json_object("record", "$.cve.id").alias("c")), "place", "total_results", "c")
+        assert got == [(at, len(ids), f"C{i}") for at, i in enumerate(ids)]
+    folder = tmp_path / "mixed" / "severity=LOW"
+    folder.mkdir(parents=True)
+    pages = [{"totalResults": 1, "startIndex": 1, "vulnerabilities": [{}]}, {"totalResults": 1, "startIndex": 0, "vulnerabilities": [{}]}]
+    (folder / "p.txt").write_text("\n".join(map(json.dumps, pages)))
+    assert recorded.PageProvider(str(tmp_path / "mixed")).pages(spark).count() == 1

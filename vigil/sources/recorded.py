@@ -5,7 +5,7 @@ told apart.  ``recorded_pages`` is a Python data source over a folder of page fi
 crawler leaves them: ``severity=<S>/*.json`` (or .txt), one page (a JSON document with
 totalResults, startIndex and vulnerabilities) a line.  Each input partition reads a group
 of files, a filter on the severity opens only the files of that severity, and a page
-beyond totalResults ends what its file holds.
+beyond totalResults is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -77,8 +77,8 @@ class _Reader(DataSourceReader):
                         continue
                     page = json.loads(line)
                     start, total = page.get("startIndex", 0), page.get("totalResults", 0)
-                    if start >= total:
-                        break
+                    if start >= total:  # pages of a file come in any order
+                        continue
                     for i, record in enumerate(page.get("vulnerabilities") or []):
                         yield severity, start + i, total, json.dumps(record)
 
@@ -139,13 +139,19 @@ class RecordProvider:
 
 
 def write_pages(records: DataFrame, path: str, page_size: int = 2000) -> None:
-    """Record (severity, place from 0, record as JSON) as page files: each page a line, all pages of a severity in its folder."""
-    totals = records.groupBy("severity").agg(F.count("*").alias("total"))
+    """Record (severity, place, record as JSON) as page files: each page a line, all pages of a severity in its folder.
+
+    A page holds the records of page_size places.  Places give the order and may have gaps: a
+    page's startIndex counts the severity's records before it, summed over a row for each page.
+    """
     pages = records.groupBy("severity", F.floor(F.col("place") / page_size).alias("page")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "record"))), lambda r: r["record"]), ",").alias("body")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "record"))), lambda r: r["record"]), ",").alias("body"),
     )
-    text = F.format_string('{"totalResults":%d,"startIndex":%d,"vulnerabilities":[%s]}', "total", F.col("page") * page_size, "body")
-    pages.join(totals, "severity").select("severity", text.alias("value")).write.partitionBy("severity").option("compression", "none").format("text").mode("overwrite").save(path)
+    counts = records.groupBy("severity", F.floor(F.col("place") / page_size).alias("page")).agg(F.count("*").alias("n"))
+    all_of = Window.partitionBy("severity")
+    starts = counts.select("severity", "page", (F.sum("n").over(all_of.orderBy("page")) - F.col("n")).alias("start"), F.sum("n").over(all_of).alias("total"))
+    text = F.format_string('{"totalResults":%d,"startIndex":%d,"vulnerabilities":[%s]}', "total", "start", "body")
+    pages.join(starts, ["severity", "page"]).select("severity", text.alias("value")).write.partitionBy("severity").option("compression", "none").format("text").mode("overwrite").save(path)
 
 
 def latest_report(spark: SparkSession, folder: str, schema: str) -> DataFrame:
