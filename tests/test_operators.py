@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.functions import core
-from vigil.operators import assets, audit, dashboard, metrics, models, signals, sinks, text
+from vigil.operators import assets, audit, dashboard, experiments, metrics, models, signals, sinks, text
 from vigil.sources import feeds
 from vigil.streaming import signal_log
 
@@ -148,6 +148,20 @@ def test_stream_drops_repeats(spark, tmp_path):
     assert spark.table("unique_signals").count() == 1
 
 
+def test_items_to_score_takes_every_named_asset(spark, tmp_path):
+    """A component of any asset counts under its name, whatever the asset's id; a CPE alone does not."""
+    vulns = spark.createDataFrame([(1, "CVE-1"), (2, "CVE-2"), (3, "CVE-3")], "vuln_id long, cve_id string")
+    products = spark.createDataFrame([(i, f"v{i}", "p") for i in (1, 2, 3)], "vuln_id long, v string, p string")
+    sbom = spark.createDataFrame([(7, "v1", "p", "x"), (8, "v2", "p", "x"), (7, "xv3", "p", "cpe:2.3:a:v3:p:1.0")], "asset_id long, vendor string, product string, cpe string").withColumn("confidence", F.lit(1.0))
+    assert [r.vuln_id for r in experiments.items_to_score(vulns, products, assets.software_keys(sbom)).orderBy("vuln_id").collect()] == [1, 2]
+    from vigil.plans.queries import REGISTRY
+
+    for name, rows in {"part": [(1, "n", "Brand#1", "TIN", 5), (2, "n", "Brand#2", "TIN", 5)], "lineitem": [(8, 2, 1, 0.0, "1995-01-01")]}.items():
+        kinds = {"part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int", "lineitem": "l_suppkey long, l_partkey long, l_linenumber int, l_discount double, l_shipdate string"}
+        spark.createDataFrame(rows, kinds[name]).withColumns({"l_shipdate": F.to_timestamp_ntz("l_shipdate")} if name == "lineitem" else {}).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert [r.vuln_id for r in REGISTRY["j09_items_to_score"][0](spark, str(tmp_path)).collect()] == [2]
+
+
 def test_risk_is_summed_term_by_term(spark):
     """At a threshold the last bit of the sum decides: 0.3 in this order, just below it in any other."""
     kinds = "affectedness string, reachability string, exploitation string, control_status string, criticality string, cvss double, epss double, control_effectiveness double"
