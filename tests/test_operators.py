@@ -167,3 +167,18 @@ def test_risk_is_summed_term_by_term(spark):
     kinds = "affectedness string, reachability string, exploitation string, control_status string, criticality string, cvss double, epss double, control_effectiveness double"
     rows = [("affected", "partially_reachable", "theoretical", "partially_mitigated", "low", c, e, 0.8) for c, e in ((1.2, 0.88), (1.4, 0.86), (4.6, 0.54), (5.0, 0.5))]
     assert {(r.action, r.confidence) for r in assets.decide_pairs(spark.createDataFrame(rows, kinds)).collect()} == {("monitor", 0.6)}
+
+
+def test_product_matches_shuffle_no_pairs(spark):
+    """Items of one product set share its matches: 300 x 300 pairs are made, and no shuffle holds more than the rows they come from."""
+    products = spark.range(300).select(F.col("id").alias("vuln_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("p")).withColumn("v", F.lit("v"))
+    products = products.unionByName(spark.createDataFrame([(900, "v", "a"), (901, "v", "none")], "vuln_id long, v string, p string"))
+    software = spark.range(300).select(F.col("id").alias("asset_id"), F.lit("v").alias("v"), F.when(F.col("id") < 150, "a").otherwise("b").alias("p"), F.when(F.col("id") != 7, F.col("id") / 1000).alias("confidence"))
+    software = software.unionByName(spark.createDataFrame([(8, "v", "b", 0.5)], "asset_id long, v string, p string, confidence double"))
+    got = {(r.asset_id, r.vuln_id): r.best for r in experiments.product_matches(products, software).collect()}
+    best = lambda a: 0.8 if a == 7 else 0.5 if a == 8 else a / 1000
+    want = {(a, i): best(a) for a in range(300) for i in range(300)} | {(a, 900): 0.008 if a == 8 else best(a) for a in range(150)}
+    assert got == want
+    plan = experiments.product_matches(products, software)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = next(line for line in plan if "Join" in line or "Aggregate" in line)
+    assert "Join" in first  # the join that makes the pairs is last, no grouping follows
