@@ -182,3 +182,16 @@ def test_product_matches_shuffle_no_pairs(spark):
     plan = experiments.product_matches(products, software)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     first = next(line for line in plan if "Join" in line or "Aggregate" in line)
     assert "Join" in first  # the join that makes the pairs is last, no grouping follows
+
+
+def test_nearest_vectors_of_odd_and_equal_rows(spark):
+    """Ties, copies, zeros, nulls, lengths and infinities rank as plain cosines of all pairs do, in any cut into groups."""
+    odd = [None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0], [1e200, 1.0, 0.0], [float("inf"), 1.0, 0.0], [-1.0, -2.0, -3.0]]
+    rows = [(i, odd[i // 5] if i % 5 == 0 and i // 5 < len(odd) else [float(i % 4 + 1), float(i % 3), 0.1 * (i % 2)]) for i in range(60)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = e.where("vec_id % 2 = 0 or vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = e.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", core.cosine(F.col("embedding"), F.col("q")).alias("s"))
+    ranked = pairs.selectExpr("query_id", "row_number() over (partition by query_id order by s desc, vec_id) rank", "vec_id", "round(s, 4) score").where("rank <= 5")
+    shown = lambda df: sorted((r.query_id, r["rank"], r.vec_id, str(r.score)) for r in df.collect())
+    assert shown(text.nearest_vectors(e, q, 5)) == shown(ranked) == shown(text.nearest_vectors(e, q, 5, shard_rows=7, block_queries=9))
+    assert "FlatMapCoGroupsInPandas" in text.nearest_vectors(e, q, 5)._jdf.queryExecution().toString()

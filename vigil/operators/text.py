@@ -121,23 +121,79 @@ def query_text(description: Column, cwes: Column, products: Column) -> Column:
     return F.concat_ws(" ", F.nullif(description, F.lit("")), listed("Weakness types: ", cwes), listed("Affected software: ", products))
 
 
+def _block_search(k: int):
+    """A cogroup function: k nearest of a shard for each query of a block, with scores summed as ``core.cosine`` sums them."""
+
+    def search(held, asked):
+        import numpy as np
+        import pandas as pd
+
+        def dense(column, wide):
+            sizes = np.array([-1 if x is None else len(x) for x in column])
+            out = np.zeros((len(column), max(1, wide)))
+            for i, x in enumerate(column):
+                if x is not None:
+                    out[i, : len(x)] = x
+            return out, sizes
+
+        def folded(a, b):  # from the left, as Spark's aggregate does
+            total = np.zeros(len(a))
+            for d in range(a.shape[1]):
+                total = total + a[:, d] * b[:, d]
+            return total
+
+        out = []
+        if len(held) and len(asked):
+            wide = max((len(x) for c in (held.embedding, asked.q) for x in c if x is not None), default=1)
+            (v, vn), (q, qn) = dense(held.embedding, wide), dense(asked.q, wide)
+            ids, names = held.vec_id.to_numpy(), asked.query_id.to_numpy()
+            with np.errstate(all="ignore"):
+                vl, ql = np.sqrt(folded(v, v)), np.sqrt(folded(q, q))
+                step = max(1, (1 << 21) // len(ids))
+                for at in range(0, len(names), step):
+                    some = slice(at, at + step)
+                    length = ql[some, None] * vl[None, :]
+                    near = np.nan_to_num(q[some] @ v.T / length, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+                    own = names[some, None] == ids[None, :]
+                    near[(length == 0) | (qn[some, None] != vn[None, :]) | (qn[some, None] < 0)] = -9.0  # no score: after all others
+                    near[own] = -np.inf
+                    last = max(0, len(ids) - k)
+                    edge = np.partition(near, last, axis=1)[:, last] - 1e-9  # rows within the error of the product are summed exactly
+                    rows, columns = np.nonzero((near >= edge[:, None]) & ~own)
+                    for a in range(0, len(rows), 1 << 16):
+                        r, c = rows[a : a + (1 << 16)], columns[a : a + (1 << 16)]
+                        score = folded(v[c], q[some][r]) / (vl[c] * ql[some][r])
+                        none = near[r, c] == -9.0
+                        out.append(pd.DataFrame({"query_id": names[some][r], "vec_id": ids[c], "score": score, "none": none}))
+        if not out:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "none": [], "nan": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "none": "bool", "nan": "bool"})
+        found = pd.concat(out)
+        high = np.where(found.none, -np.inf, np.where(np.isnan(found.score), np.inf, found.score))
+        found = found.assign(high=high, nan=np.isnan(found.score) & ~found.none).sort_values(["query_id", "none", "high", "vec_id"], ascending=[True, True, False, True])
+        return found.groupby("query_id", sort=False).head(k)[["query_id", "vec_id", "score", "none", "nan"]]
+
+    return search
+
+
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, least: float | None = None, shard_rows: int = 8192, block_queries: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest by cosine; payload filter first, the score limit after the top k.
 
     Vectors meet ``queries`` (query_id, q; of any number) as (shard, block) groups of
-    bounded size; each shard gives a query its own top k before the last one.
+    bounded size, each a matrix product whose best are summed again exactly; each shard
+    gives a query its own top k before the last one.  All pairs are compared: the work is
+    that of queries times vectors.
     """
     held = vectors if where is None else vectors.where(where)
     shards, blocks = max(1, -(-held.count() // shard_rows)), max(1, -(-queries.count() // block_queries))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = held.select("vec_id", "embedding", place("vec_id", shards).alias("shard"), every(blocks).alias("block"))
-    right = queries.select("query_id", "q", place("query_id", blocks).alias("block"), every(shards).alias("shard"))
-    both = left.hint("merge").join(right, ["shard", "block"]).where(F.col("vec_id") != F.col("query_id"))
-    scored = both.select("query_id", "shard", "vec_id", core.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    order = (F.desc("score"), F.col("vec_id"))
-    own = scored.withColumn("at", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))).where(F.col("at") <= k)
-    top = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.col(c).cast("array<double>")).alias(c)  # noqa: E731  # a null component: no score
+    left = held.select("vec_id", whole("embedding"), place("vec_id", shards).alias("shard"), every(blocks).alias("block"))
+    right = queries.select("query_id", whole("q"), place("query_id", blocks).alias("block"), every(shards).alias("shard"))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double, none boolean, nan boolean"
+    own = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_block_search(k), kinds)
+    own = own.select("query_id", "vec_id", F.when(F.col("nan"), F.lit(float("nan"))).when(~F.col("none"), F.col("score")).alias("score"))  # pandas has no NaN beside null
+    top = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id")))).where(F.col("rank") <= k)
     top = top if least is None else top.where(F.col("score") >= least)
     return top.select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
 
