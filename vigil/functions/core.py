@@ -5,7 +5,7 @@ All are ANSI-safe and need no Python on the executors.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,43 +55,61 @@ def safe_date(x: Column) -> Column:
     return x.try_cast("date")
 
 
-def cvss_parts(vector: Column) -> dict[str, Column]:
-    """valid, version, error and the eight ordinals (-1 if missing or invalid) of a CVSS 3 vector.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def cvss_record(vector: Column) -> Column:
+    """struct of valid, version, error and the eight ordinals (-1 if missing or invalid) of a CVSS 3 vector.
 
     Errors follow the order of the parts: pattern, component, duplicate, value, then missing metrics.
     """
-    text = F.trim(vector)
-    body = F.regexp_extract(text, r"(?i)^CVSS:3\.[01]/(.+)$", 1)
-    parts = F.split(body, "/")
     names = F.array(*map(F.lit, METRICS))
-    pairs = F.transform(parts, lambda p: F.struct(F.upper(F.get(F.split(p, ":"), F.lit(0))).alias("k"), F.get(F.split(p, ":"), F.lit(1)).alias("v"), F.size(F.split(p, ":")).alias("n")))
-    keys = F.transform(pairs, lambda p: p["k"])
     fine = F.array(*[F.lit(f"{m}:{v}") for m, vs in METRICS.items() for v in vs])
 
-    def error(p: Column, i: Column) -> Column:
-        known = F.array_contains(names, p["k"])
+    def split(body: Column) -> Column:
+        parts = F.transform(F.split(body, "/"), lambda p: F.split(p, ":"))
+        return F.transform(parts, lambda q: F.struct(F.upper(F.get(q, F.lit(0))).alias("k"), F.get(q, F.lit(1)).alias("v"), F.size(q).alias("n")))
+
+    def failure(text: Column, body: Column, pairs: Column, keys: Column) -> Column:
+        def error(p: Column, i: Column) -> Column:
+            known = F.array_contains(names, p["k"])
+            return (
+                F.when(p["n"] != 2, "component")
+                .when(known & F.array_contains(F.slice(keys, F.lit(1), i), p["k"]), "duplicate")
+                .when(known & ~F.array_contains(fine, F.concat_ws(":", p["k"], p["v"])), "value")
+            )
+
+        first = F.get(F.filter(F.transform(pairs, error), lambda e: e.isNotNull()), F.lit(0))
+        missing = F.size(F.array_except(names, keys)) > 0
         return (
-            F.when(p["n"] != 2, "component")
-            .when(known & F.array_contains(F.slice(keys, F.lit(1), i), p["k"]), "duplicate")
-            .when(known & ~F.array_contains(fine, F.concat_ws(":", p["k"], p["v"])), "value")
+            F.when(text.isNull() | (text == ""), "empty")
+            .when(body == "", "pattern")
+            .otherwise(F.coalesce(first, F.when(missing, "missing")))
         )
 
-    first = F.get(F.filter(F.transform(pairs, error), lambda e: e.isNotNull()), F.lit(0))
-    missing = F.size(F.array_except(names, keys)) > 0
-    failed = (
-        F.when(text.isNull() | (text == ""), "empty")
-        .when(body == "", "pattern")
-        .otherwise(F.coalesce(first, F.when(missing, "missing")))
-    )
-    out = {
-        "valid": failed.isNull(),
-        "version": F.when(failed.isNull(), F.when(text.contains("3.0"), "3.0").otherwise("3.1")),
-        "error": failed,
-    }
-    for m, values in METRICS.items():
-        own = F.get(F.filter(pairs, _is(m)), F.lit(0))["v"]
-        out[m] = F.when(failed.isNull(), F.coalesce(lookup(own, values), F.lit(-1))).otherwise(-1)
-    return out
+    def record(text: Column, pairs: Column, failed: Column) -> Column:
+        own = lambda m: F.get(F.filter(pairs, _is(m)), F.lit(0))["v"]
+        return F.struct(
+            failed.isNull().alias("valid"),
+            F.when(failed.isNull(), F.when(text.contains("3.0"), "3.0").otherwise("3.1")).alias("version"),
+            failed.alias("error"),
+            *[F.when(failed.isNull(), F.coalesce(lookup(own(m), values), F.lit(-1))).otherwise(-1).alias(m) for m, values in METRICS.items()],
+        )
+
+    def read(text: Column) -> Column:
+        body = F.regexp_extract(text, r"(?i)^CVSS:3\.[01]/(.+)$", 1)
+        with_keys = lambda body, pairs: _let(F.transform(pairs, lambda p: p["k"]), lambda keys: _let(failure(text, body, pairs, keys), lambda failed: record(text, pairs, failed)))
+        return _let(body, lambda body: _let(split(body), lambda pairs: with_keys(body, pairs)))
+
+    return _let(F.trim(vector), read)
+
+
+def cvss_parts(vector: Column) -> dict[str, Column]:
+    """The fields of ``cvss_record`` by name."""
+    found = cvss_record(vector)
+    return {n: found[n] for n in ("valid", "version", "error", *METRICS)}
 
 
 def _is(metric: str):
